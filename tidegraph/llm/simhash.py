@@ -167,6 +167,7 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, id_co
     names = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = roots.join(names, "root").select(F.col("node").alias("f"), "component")
     table = classes.join(named, "f", "left").select(F.col("f").alias("_f"), "copies", F.coalesce("component", "least").alias("component_id"))
+    table = staged(table, "named")  # so that the join below deals both sides anew and a frequent fingerprint can be split
     return f.join(table, F.col("f") == F.col("_f")).select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ from tidegraph.llm.common import components, small_batches, staged
 
 #: Members of a posting up to which its pairs are made.
 PAIRED = 32
+#: The same where pairs are compared by their texts, and the keys whose links the other keys build on.
+PAIRED_WIDE = 8
+FIRST_KEYS = 12
 _CHUNK = 1 << 16
 
 
@@ -171,6 +175,28 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, id_co
     return f.join(table, F.col("f") == F.col("_f")).select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
+def _verified(cand: DataFrame, f: DataFrame, docs: DataFrame, words: int, similarity: float, planes: int, min_matches: int) -> DataFrame:
+    """Of candidate pairs (a, b): those that share min_matches positional bytes and whose shingle sets are similar."""
+    side = lambda n: f.select(F.col("id").alias(n), F.col("f").alias(f"f{n}"))
+    close = cand.join(side("a"), "a").join(side("b"), "b").where(shared_bytes(F.col("fa"), F.col("fb"), planes) >= min_matches).select("a", "b")
+    close = staged(close, "tallied")
+    wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
+    texts = staged(docs.join(wanted, "doc_id", "left_semi"), "texts")
+    both = close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = set(shingles(x.as_py() or "", words)), set(shingles(y.as_py() or "", words))
+                both = len(s & t)
+                keep.append(both >= similarity * (len(s) + len(t) - both) if s or t else True)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, key_bytes: int = 3, keys: int = 64, min_matches: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep), one row per input row: groups of texts linked by shingle-set Jaccard of `similarity` or more.
 
@@ -178,8 +204,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pl
     bits, at 0.9 in 10 %; over 32 bytes it shares 9 or 13 bytes on average, an unrelated pair 0.1, so pairs with fewer
     than min_matches are dropped and the rest compared by their whole shingle sets. Key tuples are chosen, not
     exhaustive: expected recall is 0.72 at Jaccard 0.8, 0.9 at 0.85, 0.99 from 0.9, more within larger groups. For
-    over 10^8 distinct texts raise key_bytes to 4 and keys to 160. A large posting links each member to its first member and to the one
-    before it. Texts without words are one group; null ids: see `simhash_components`.
+    over 10^8 distinct texts raise key_bytes to 4 and keys to 160. A large posting links each member to its first member; those it
+    doesn't come to are then linked to the member before them that is apart too. Texts without words are one group; null ids: see `simhash_components`.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -192,34 +218,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pl
     first = keyed.join(reps, "doc_id").where("h1 = k1 and h2 = k2").select("doc_id", "text").dropDuplicates(["doc_id"])
     f = staged(fingerprints(first, words, planes), "wide").withColumnRenamed("doc_id", "id")
     tuples = position_tuples(8 * planes, key_bytes, keys)
-    rows = f.select("id", F.explode(_key(F.col("f"), tuples)).alias("key"))
     by = Window.partitionBy("key")
-    rows = rows.withColumns({"c": F.count("*").over(by)}).where("c > 1")
-    shared = staged(rows, "postings")
-    small = shared.where(F.col("c") <= PAIRED).select("key", "id")
-    pairs = small.join(small.withColumnRenamed("id", "b"), "key").where("id < b").select(F.col("id").alias("a"), "b")
     order = by.orderBy("id")
-    big = shared.where(F.col("c") > PAIRED).withColumns({"first": F.first("id").over(order), "before": F.lag("id").over(order)})
-    stars = big.where("before is not null").select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("id").alias("b"))
-    cand = pairs.unionByName(stars).distinct()
-    side = lambda n: f.select(F.col("id").alias(n), F.col("f").alias(f"f{n}"))
-    cand = cand.join(side("a"), "a").join(side("b"), "b").where(shared_bytes(F.col("fa"), F.col("fb"), planes) >= min_matches).select("a", "b")
-    cand = staged(cand, "candidates")
-    wanted = cand.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = staged(first.join(wanted, "doc_id", "left_semi"), "texts")
-    both = cand.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = set(shingles(x.as_py() or "", words)), set(shingles(y.as_py() or "", words))
-                both = len(s & t)
-                keep.append(both >= similarity * (len(s) + len(t) - both) if s or t else True)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
-
-    edges = staged(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "links")
-    roots = components(edges)
+    # the first keys link most of a group; later ones then only look at pairs that are still apart
+    postings, links, roots = [], [], None
+    for part in (tuples[:FIRST_KEYS], tuples[FIRST_KEYS:]):
+        rows = f.select("id", F.explode(_key(F.col("f"), part)).alias("key"))
+        shared = staged(rows.withColumn("c", F.count("*").over(by)).where("c > 1"), "postings")
+        known = shared.withColumn("root", F.col("id")) if roots is None else shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        small = known.where(F.col("c") <= PAIRED_WIDE).select("key", "id", "root")
+        other = small.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
+        pairs = small.join(other, "key").where("id < b and root <> rb").select(F.col("id").alias("a"), "b")
+        big = known.where(F.col("c") > PAIRED_WIDE).withColumns({"a": F.first("id").over(order), "ra": F.first("root").over(order)})
+        cand = staged(pairs.unionByName(big.where("a <> id and root <> ra").select("a", F.col("id").alias("b"))).distinct(), "candidates")
+        links.append(staged(_verified(cand, f, first, words, similarity, planes, min_matches), "links"))
+        postings.append(shared.where(F.col("c") > PAIRED_WIDE).select(F.lit(len(postings)).alias("part"), "key", "id"))
+        roots = staged(components(reduce(DataFrame.unionByName, links)), "roots")
+    by = Window.partitionBy("part", "key")
+    order = by.orderBy("id")
+    big = reduce(DataFrame.unionByName, postings)
+    # members of large postings that did not come to their first member: linked to the one before that is apart from it
+    named = big.join(roots.withColumnRenamed("node", "id"), "id", "left").select("part", "key", "id", F.coalesce("root", "id").alias("root"))
+    apart = named.withColumn("first", F.first("root").over(order)).where("root <> first").select("part", "key", "id", "root")
+    chain = apart.withColumns({"a": F.lag("id").over(order), "ra": F.lag("root").over(order), "b0": F.first("id").over(order), "r0": F.first("root").over(order)})
+    chain = chain.where("ra is not null").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("ra").alias("r")), F.struct(F.col("b0").alias("a"), F.col("r0").alias("r")))).alias("x"), F.col("id").alias("b"), "root")
+    rest = chain.where("x.r <> root").select("x.a", "b").distinct()
+    more = staged(_verified(staged(rest, "candidates"), f, first, words, similarity, planes, min_matches), "links")
+    roots = components(reduce(DataFrame.unionByName, [*links, more]))
     out = ids.join(exact, ["h1", "h2"]).select("doc_id", "rep")
     out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", (F.col("doc_id").eqNullSafe(F.coalesce("root", "rep"))).alias("keep"), F.coalesce("root", "rep").alias("component_id"))

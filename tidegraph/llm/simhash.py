@@ -127,19 +127,19 @@ def _pairs(shared: DataFrame) -> DataFrame:
 def hamming_edges(classes: DataFrame, max_bits: int = 2) -> DataFrame:
     """(a, b): links of distinct 64-bit fingerprints that leave the same components as all pairs at max_bits or fewer.
 
-    classes: (id, f). In a large posting, whose members agree in 8 - max_bits bytes, every pair within 2 bits has a
-    common neighbour at one bit or none, so each member names its neighbours there and is linked to the least member
-    that names the same one: at most 8 * max_bits + 1 rows a member. Larger max_bits pairs large postings too.
+    classes: (id, f). Keys are all tuples of 6 of the 8 positions. In a large posting, whose members agree in 6 bytes,
+    every pair within 2 bits has a common neighbour at one bit or none in the other two, so each member names its 17
+    neighbours there and is linked to the least member that names the same one.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits is 0, 1 or 2: beyond, a large posting has no linear exact form here")
-    width = 8 - max_bits
+    if max_bits == 0:  # classes are distinct fingerprints
+        return classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    width = 6
     tuples = position_tuples(8, width)
     shared = _postings(classes, tuples)
     tally = _pairs(shared).groupBy("a", "fa", "b", "fb").agg(F.count("*").alias("keys"))
-    close = tally.where((shared_bytes(F.col("fa"), F.col("fb"), 1) >= width) & (differing_bits(F.col("fa"), F.col("fb"), 1) <= max_bits)).select("a", "b")
-    if max_bits == 0:
-        return close
+    close = tally.where((shared_bytes(F.col("fa"), F.col("fb"), 1) >= 8 - max_bits) & (differing_bits(F.col("fa"), F.col("fb"), 1) <= max_bits)).select("a", "b")
     big = shared.where(F.col("c") > PAIRED)
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit((1 << (63 - 8 * p - i)) if 8 * p + i else -(1 << 63)).cast("long") for p in range(8) if p not in t for i in range(8)]) for t in tuples])
     flip = F.explode(F.element_at(flips, (F.shiftright("key", 8 * width) + 1).cast("int"))).alias("flip")

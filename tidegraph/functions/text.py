@@ -104,20 +104,6 @@ def relevant_sentences(text: Column, term: Column, most: int = 3) -> Column:
     return F.slice(F.filter(sentences(text), lambda s: F.contains(F.lower(s), F.lower(term))), 1, most)
 
 
-def answer_direction(text: Column) -> Column:
-    low = F.lower(text)
-    return (
-        F.when(low.rlike(r"negative for|bearish"), "negative").when(low.rlike(r"positive for|bullish"), "positive")
-        .when(low.rlike(r"\bmixed\b"), "mixed").when(low.rlike(r"\bunclear\b|uncertain"), "unclear").otherwise("unclear")
-    )
-
-
-def answer_confidence(text: Column) -> Column:
-    """The first percentage, between 0 and 100, or null."""
-    got = F.regexp_extract(text, r"([0-9]{1,4})\s*%", 1)
-    return F.when(got != "", F.least(F.greatest(got.cast("int"), F.lit(0)), F.lit(100)))
-
-
 def cited(text: Column) -> Column:
     """Distinct citations [S1], [S2], ... in order of first use."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(S[0-9]+)\]"), F.lit(1)))

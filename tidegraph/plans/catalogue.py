@@ -357,16 +357,6 @@ def set_recall_precision(t):
     return j.select("k", h.cast("long").alias("hits"), r.alias("recall"), p.alias("precision"))
 
 
-@query("""select conv_id, turn, case when regexp_matches(lower(text), 'negative for|bearish') then 'negative' when regexp_matches(lower(text), 'positive for|bullish') then 'positive' when regexp_matches(lower(text), '\\bmixed\\b') then 'mixed' else 'unclear' end as direction from conversations""")
-def answer_direction(t):
-    return t.conversations.select("conv_id", "turn", X.answer_direction(F.col("text")).alias("direction"))
-
-
-@query(r"select item_id, least(greatest(try_cast(nullif(regexp_extract('Confidence: ' || (item_id * 7) || ' % of ' || text, '([0-9]{1,4})\s*%', 1), '') as int), 0), 100) as confidence from benchmark")
-def answer_confidence(t):
-    return t.benchmark.select("item_id", X.answer_confidence(F.concat(F.lit("Confidence: "), (F.col("item_id") * 7).cast("string"), F.lit(" % of "), F.col("text"))).alias("confidence"))
-
-
 @query()
 def near_dup_keep(t):
     return nlp.near_dup_keep(t.articles, "doc_id", "text", "published")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import text as X
 from tidegraph.operators import answers as A
 from tidegraph.operators import linking as L
+from tidegraph.operators import retrieval as R
 from tidegraph.plans.catalogue import query
 
 
@@ -83,3 +84,46 @@ def citation_grounding(t):
     answer = F.concat(F.lit("Answer: "), F.col("text"), F.lit(" [S"), (F.col("item_id") % 6).cast("string"), F.lit("] [S1] [S9]"))
     g = A.grounding(answer, F.array(*[F.lit(f"S{i}") for i in range(4)]))
     return t.benchmark.select("item_id", F.array_join(g["used"], ",").alias("used"), g["count"].cast("long").alias("n"))
+
+
+@query(r"""select conv_id, turn, regexp_replace(text, '\b(they|it|the company|their|its|the firm|the stock|the brand|this company|this stock|that company|that stock|the entity|this entity)\b', 'Acme $1', 'gi') as rewritten
+  from conversations where turn > 0 union all select conv_id, turn, text from conversations where turn = 0""")
+def coreference(t):
+    """References replaced by the entity that the first turn of each conversation names."""
+    none = F.lit(None).cast("date")
+    turns = t.conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_index"), F.col("text").alias("query"), F.when(F.col("turn") == 0, "Acme $1").alias("display_name"), none.alias("date_start"), none.alias("date_end"))
+    return R.resolve_references(turns).select(F.col("session_id").alias("conv_id"), F.col("turn_index").alias("turn"), "rewritten")
+
+
+@query("""with f as (select lower(o_orderpriority) as hop, o_orderkey as chunk_id, o_totalprice as score from orders),
+  b as (select * from (select *, row_number() over (partition by hop order by score desc, chunk_id) as rn from f) where rn <= 4)
+  select chunk_id, hop from b""")
+def causal_hops(t):
+    """One chain over all priorities, each named twice."""
+    hops = t.orders.select("o_orderpriority").distinct().select(F.lit(1).alias("question_id"), F.explode(F.array(F.lit(0), F.lit(9))).alias("k"), "o_orderpriority")
+    hops = hops.select("question_id", (F.substring("o_orderpriority", 1, 1).cast("int") + F.col("k")).alias("at"), F.concat(F.lit(" "), "o_orderpriority").alias("hop"))
+    found = t.orders.select(F.lower("o_orderpriority").alias("hop"), F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("score"))
+    return R.causal_hops(hops, found).select("chunk_id", "hop")
+
+
+@query("""with r as (select o_custkey as question_id, o_orderkey as chunk_id, o_totalprice as score, case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as tier from orders),
+  h as (select question_id, count(*) filter (tier < 1) as h1, count(*) filter (tier < 2) as h2 from r group by 1),
+  u as (select r.* from r join h using (question_id) where tier = 0 or (tier = 1 and h1 < 4) or (tier = 2 and h2 < 4))
+  select question_id, chunk_id, 'tier_' || tier as kind from (select *, row_number() over (partition by question_id order by score desc, chunk_id) as rn from u) where rn <= 8""")
+def retrieval_cascade(t):
+    rows = t.orders.select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("score"), F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("tier"))
+    return R.cascade([rows.where(F.col("tier") == i).withColumn("kind", F.lit(f"tier_{i}")) for i in range(3)]).select("question_id", "chunk_id", "kind")
+
+
+@query("""with a as (select lang as question_id, doc_id as chunk_id, doc_id % 50 as article_id, source, cast(n_chars as double) as score from documents),
+  c as (select * from (select *, row_number() over (partition by question_id, article_id order by score desc, chunk_id) as rn from a) where rn <= 2),
+  s as (select question_id, chunk_id, row_number() over (partition by question_id, lower(trim(coalesce(source, 'unknown'))) order by score desc, chunk_id) as rs from c)
+  select question_id, chunk_id, count(*) over (partition by question_id) >= 3 as enough from s where rs <= 1""")
+def summary_caps(t):
+    d = t.documents.select(F.col("lang").alias("question_id"), F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).alias("article_id"), "source", F.col("n_chars").cast("double").alias("score"))
+    return R.summary_list(d).select("question_id", "chunk_id", "enough")
+
+
+@query("select user_id as chunk_id, max(ts) as queued_at from events where event_type = 'error' group by 1")
+def retry_list(t):
+    return R.retry_list(t.events.select(F.col("user_id").alias("chunk_id"), F.col("event_type").alias("queue_name"), F.col("ts").alias("created_at")), "error")

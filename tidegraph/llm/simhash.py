@@ -10,8 +10,9 @@ bytes, so with all tuples of 8 - d positions as keys no such pair is missed.
 from __future__ import annotations
 
 import itertools
+import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,9 +25,13 @@ from tidegraph.llm.common import components, small_batches, staged
 
 #: Members of a posting up to which its pairs are made.
 PAIRED = 32
-#: The same where pairs are compared by their texts, and the keys whose links the other keys build on.
-PAIRED_WIDE = 8
+#: The same for the keys whose links the others build on, where pairs are compared by their texts; the number of those keys.
+PAIRED_FIRST = 8
 FIRST_KEYS = 12
+#: The same for all keys, once the first ones have linked.
+PAIRED_WIDE = 16
+#: Members of a posting that are put in order together.
+BLOCK = 4096
 _CHUNK = 1 << 16
 
 
@@ -175,11 +180,8 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, id_co
     return f.join(table, F.col("f") == F.col("_f")).select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
-def _verified(cand: DataFrame, f: DataFrame, docs: DataFrame, words: int, similarity: float, planes: int, min_matches: int) -> DataFrame:
-    """Of candidate pairs (a, b): those that share min_matches positional bytes and whose shingle sets are similar."""
-    side = lambda n: f.select(F.col("id").alias(n), F.col("f").alias(f"f{n}"))
-    close = cand.join(side("a"), "a").join(side("b"), "b").where(shared_bytes(F.col("fa"), F.col("fb"), planes) >= min_matches).select("a", "b")
-    close = staged(close, "tallied")
+def _verified(close: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of candidate pairs (a, b): those whose shingle sets are similar. close is staged."""
     wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
     texts = staged(docs.join(wanted, "doc_id", "left_semi"), "texts")
     both = close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
@@ -197,15 +199,71 @@ def _verified(cand: DataFrame, f: DataFrame, docs: DataFrame, words: int, simila
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, key_bytes: int = 3, keys: int = 64, min_matches: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _wide_postings(f: DataFrame, tuples: list[tuple[int, ...]], first: int, n_bytes: int) -> DataFrame:
+    """(key, id, f, c) of postings with at least two members. Tuples are numbered from `first`.
+
+    The tuples are one literal array, exploded before their bytes are taken, so that the code doesn't grow with their number.
+    """
+    width = len(tuples[0])
+    if width * 8 > 40 or first + len(tuples) > 1 << 16:
+        raise ValueError("keys don't fit a long")
+    each = F.posexplode(F.array(*[F.array(*map(F.lit, t)) for t in tuples])).alias("n", "t")
+    rows = f.select("id", F.array(*[_byte(F.col("f"), p) for p in range(n_bytes)]).alias("bytes"), each)
+    key = sum((F.shiftleft(F.get("bytes", F.get("t", i)), 8 * i) for i in range(width)), F.shiftleft((F.col("n") + first).cast("long"), 8 * width))
+    rows = rows.select("id", key.alias("key"))
+    rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
+    return staged(rows.join(f, "id"), "postings")
+
+
+def _near(a: Column, b: Column, planes: int, similarity: float, min_matches: int) -> Column:
+    """Whether two fingerprints share min_matches positional bytes and are near enough for the similarity.
+
+    At a Jaccard similarity s the shingle sets' cosine is 2s / (1 + s), so a bit differs with the angle's share p of pi;
+    the bound is 4.5 standard deviations over the mean of p (65 of 256 bits at 0.8).
+    """
+    bits = 64 * planes
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.ceil(bits * p + 4.5 * math.sqrt(bits * p * (1 - p)))
+    return (differing_bits(a, b, planes) <= most) & (shared_bytes(a, b, planes) >= min_matches)
+
+
+def _small_pairs(known: DataFrame, most: int, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b): all near pairs, of different roots, of postings up to `most` members. known: (key, id, c, f, root)."""
+    small = known.where(F.col("c") <= most).select("key", "id", "root", "f")
+    other = small.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("f").alias("fb"))
+    pairs = small.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & near(F.col("f"), F.col("fb")))
+    return pairs.select(F.col("id").alias("a"), "b")
+
+
+def _least(large: DataFrame) -> DataFrame:
+    """(key, a, ra, fa): the least member of each posting."""
+    return large.groupBy("key").agg(F.min(F.struct("id", "root", "f")).alias("x")).select("key", F.col("x.id").alias("a"), F.col("x.root").alias("ra"), F.col("x.f").alias("fa"))
+
+
+def _stars(large: DataFrame, least: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b): the least member of each posting, and each near member of another root."""
+    return large.join(least, "key").where((F.col("root") != F.col("ra")) & near(F.col("f"), F.col("fa"))).select("a", F.col("id").alias("b"))
+
+
+def _chains(large: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b): near neighbours by id, of different roots, in blocks of about BLOCK members, so that no posting meets in one task."""
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).alias("block")
+    order = Window.partitionBy("key", "block").orderBy("id")
+    lagged = large.select("key", "id", "root", "f", block).withColumn("x", F.lag(F.struct(F.col("id").alias("a"), "root", "f")).over(order))
+    return lagged.where((F.col("root") != F.col("x.root")) & near(F.col("f"), F.col("x.f"))).select("x.a", F.col("id").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, key_bytes: int = 3, keys: int = 160, min_matches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep), one row per input row: groups of texts linked by shingle-set Jaccard of `similarity` or more.
 
     The least id of a group stays. Exact copies are one class first. A pair at Jaccard 0.8 differs in 15 % of simhash
     bits, at 0.9 in 10 %; over 32 bytes it shares 9 or 13 bytes on average, an unrelated pair 0.1, so pairs with fewer
-    than min_matches are dropped and the rest compared by their whole shingle sets. Key tuples are chosen, not
-    exhaustive: expected recall is 0.72 at Jaccard 0.8, 0.9 at 0.85, 0.99 from 0.9, more within larger groups. For
-    over 10^8 distinct texts raise key_bytes to 4 and keys to 160. A large posting links each member to its first member; those it
-    doesn't come to are then linked to the member before them that is apart too. Texts without words are one group; null ids: see `simhash_components`.
+    than min_matches, or more differing bits than `_near` allows, are dropped and the rest compared by their whole shingle sets. Key tuples are chosen, not
+    exhaustive: by simulation a single pair is found with probability 0.78 at Jaccard 0.8, 0.92 at 0.85, 0.99 from 0.9;
+    a member of a larger group has several chances. For over 10^8 distinct texts raise key_bytes to 4 and keys to 600.
+    Postings up to PAIRED_WIDE members give all near pairs that are still apart; a larger one links each member to its least
+    member, to its neighbour by id, and, if it did not come to the least, to its neighbour among those that did not.
+    Texts without words are one group; null ids: see `simhash_components`.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -218,33 +276,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pl
     first = keyed.join(reps, "doc_id").where("h1 = k1 and h2 = k2").select("doc_id", "text").dropDuplicates(["doc_id"])
     f = staged(fingerprints(first, words, planes), "wide").withColumnRenamed("doc_id", "id")
     tuples = position_tuples(8 * planes, key_bytes, keys)
-    by = Window.partitionBy("key")
-    order = by.orderBy("id")
-    # the first keys link most of a group; later ones then only look at pairs that are still apart
-    postings, links, roots = [], [], None
-    for part in (tuples[:FIRST_KEYS], tuples[FIRST_KEYS:]):
-        rows = f.select("id", F.explode(_key(F.col("f"), part)).alias("key"))
-        shared = staged(rows.withColumn("c", F.count("*").over(by)).where("c > 1"), "postings")
-        known = shared.withColumn("root", F.col("id")) if roots is None else shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        small = known.where(F.col("c") <= PAIRED_WIDE).select("key", "id", "root")
-        other = small.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-        pairs = small.join(other, "key").where("id < b and root <> rb").select(F.col("id").alias("a"), "b")
-        big = known.where(F.col("c") > PAIRED_WIDE).withColumns({"a": F.first("id").over(order), "ra": F.first("root").over(order)})
-        cand = staged(pairs.unionByName(big.where("a <> id and root <> ra").select("a", F.col("id").alias("b"))).distinct(), "candidates")
-        links.append(staged(_verified(cand, f, first, words, similarity, planes, min_matches), "links"))
-        postings.append(shared.where(F.col("c") > PAIRED_WIDE).select(F.lit(len(postings)).alias("part"), "key", "id"))
+    # the first keys link most of a group; after them all postings only look at pairs that are still apart
+    near = lambda a, b: _near(a, b, planes, similarity, min_matches)
+    shared = _wide_postings(f, tuples[:FIRST_KEYS], 0, 8 * planes)
+    known = shared.withColumn("root", F.col("id"))
+    large = known.where(F.col("c") > PAIRED_FIRST)
+    tried = staged(_small_pairs(known, PAIRED_FIRST, near).unionByName(_stars(large, _least(large), near)).distinct(), "candidates")
+    links = [staged(_verified(tried, first, words, similarity), "links")]
+    if tuples[FIRST_KEYS:]:
+        shared = shared.unionByName(_wide_postings(f, tuples[FIRST_KEYS:], FIRST_KEYS, 8 * planes))
+    for members in ("all", "apart"):
         roots = staged(components(reduce(DataFrame.unionByName, links)), "roots")
-    by = Window.partitionBy("part", "key")
-    order = by.orderBy("id")
-    big = reduce(DataFrame.unionByName, postings)
-    # members of large postings that did not come to their first member: linked to the one before that is apart from it
-    named = big.join(roots.withColumnRenamed("node", "id"), "id", "left").select("part", "key", "id", F.coalesce("root", "id").alias("root"))
-    apart = named.withColumn("first", F.first("root").over(order)).where("root <> first").select("part", "key", "id", "root")
-    chain = apart.withColumns({"a": F.lag("id").over(order), "ra": F.lag("root").over(order), "b0": F.first("id").over(order), "r0": F.first("root").over(order)})
-    chain = chain.where("ra is not null").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("ra").alias("r")), F.struct(F.col("b0").alias("a"), F.col("r0").alias("r")))).alias("x"), F.col("id").alias("b"), "root")
-    rest = chain.where("x.r <> root").select("x.a", "b").distinct()
-    more = staged(_verified(staged(rest, "candidates"), f, first, words, similarity, planes, min_matches), "links")
-    roots = components(reduce(DataFrame.unionByName, [*links, more]))
+        known = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        large = known.where(F.col("c") > PAIRED_WIDE)
+        least = _least(large)
+        if members == "all":
+            cand = _small_pairs(known, PAIRED_WIDE, near).unionByName(_stars(large, least, near)).unionByName(_chains(large, near))
+        else:  # members of large postings that did not come to their least member are chained without those that did
+            cand = _chains(large.join(least, "key").where("root <> ra").drop("a", "ra", "fa"), near)
+        cand = staged(cand.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+        links.append(staged(_verified(cand, first, words, similarity), "links"))
+        tried = tried.unionByName(cand)
+    roots = components(reduce(DataFrame.unionByName, links))
     out = ids.join(exact, ["h1", "h2"]).select("doc_id", "rep")
     out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", (F.col("doc_id").eqNullSafe(F.coalesce("root", "rep"))).alias("keep"), F.coalesce("root", "rep").alias("component_id"))

@@ -200,7 +200,7 @@ def _verified(close: DataFrame, docs: DataFrame, words: int, similarity: float)
 
 
 def _wide_postings(f: DataFrame, tuples: list[tuple[int, ...]], first: int, n_bytes: int) -> DataFrame:
-    """(key, id, f, c) of postings with at least two members. Tuples are numbered from `first`.
+    """(key, id, c) of postings with at least two members. Tuples are numbered from `first`.
 
     The tuples are one literal array, exploded before their bytes are taken, so that the code doesn't grow with their number.
     """
@@ -211,8 +211,7 @@ def _wide_postings(f: DataFrame, tuples: list[tuple[int, ...]], first: int, n_by
     rows = f.select("id", F.array(*[_byte(F.col("f"), p) for p in range(n_bytes)]).alias("bytes"), each)
     key = sum((F.shiftleft(F.get("bytes", F.get("t", i)), 8 * i) for i in range(width)), F.shiftleft((F.col("n") + first).cast("long"), 8 * width))
     rows = rows.select("id", key.alias("key"))
-    rows = rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1")
-    return staged(rows.join(f, "id"), "postings")
+    return staged(rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"), "postings")
 
 
 def _near(a: Column, b: Column, planes: int, similarity: float, min_matches: int) -> Column:
@@ -279,7 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pl
     # the first keys link most of a group; after them all postings only look at pairs that are still apart
     near = lambda a, b: _near(a, b, planes, similarity, min_matches)
     shared = _wide_postings(f, tuples[:FIRST_KEYS], 0, 8 * planes)
-    known = shared.withColumn("root", F.col("id"))
+    known = staged(shared.join(f.withColumn("root", F.col("id")), "id"), "known")
     large = known.where(F.col("c") > PAIRED_FIRST)
     tried = staged(_small_pairs(known, PAIRED_FIRST, near).unionByName(_stars(large, _least(large), near)).distinct(), "candidates")
     links = [staged(_verified(tried, first, words, similarity), "links")]
@@ -287,7 +286,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pl
         shared = shared.unionByName(_wide_postings(f, tuples[FIRST_KEYS:], FIRST_KEYS, 8 * planes))
     for members in ("all", "apart"):
         roots = staged(components(reduce(DataFrame.unionByName, links)), "roots")
-        known = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rooted = staged(f.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        wanted = shared if members == "all" else shared.where(F.col("c") > PAIRED_WIDE)
+        known = staged(wanted.join(rooted, "id"), "known")
         large = known.where(F.col("c") > PAIRED_WIDE)
         least = _least(large)
         if members == "all":

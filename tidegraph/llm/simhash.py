@@ -30,8 +30,12 @@ PAIRED_FIRST = 8
 FIRST_KEYS = 12
 #: The same for all keys, once the first ones have linked.
 PAIRED_WIDE = 16
-#: Members of a posting that are put in order together.
-BLOCK = 4096
+#: Members of a posting that meet in one block of the exact rest; bits of the bitmaps there.
+UNIT = 512
+BITMAP = 1024
+#: Texts whose shingles are counted and most shingles that are then put last, for short postings.
+SAMPLE = 20_000
+COMMON = 50_000
 _CHUNK = 1 << 16
 
 
@@ -244,12 +248,134 @@ def _stars(large: DataFrame, least: DataFrame, near: Callable[[Column, Column],
     return large.join(least, "key").where((F.col("root") != F.col("ra")) & near(F.col("f"), F.col("fa"))).select("a", F.col("id").alias("b"))
 
 
-def _chains(large: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
-    """(a, b): near neighbours by id, of different roots, in blocks of about BLOCK members, so that no posting meets in one task."""
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK)).alias("block")
-    order = Window.partitionBy("key", "block").orderBy("id")
-    lagged = large.select("key", "id", "root", "f", block).withColumn("x", F.lag(F.struct(F.col("id").alias("a"), "root", "f")).over(order))
-    return lagged.where((F.col("root") != F.col("x.root")) & near(F.col("f"), F.col("x.f"))).select("x.a", F.col("id").alias("b"))
+def _common(first: DataFrame, rows: int, words: int) -> np.ndarray:
+    """Hashes of shingles that several texts of a bounded sample hold, most common last. Only an order: results don't depend on it."""
+    share = min(1.0, SAMPLE / max(rows, 1))
+    some = first.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_hashes(t.as_py(), words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
+
+    often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
+    return np.array([r.h for r in often.collect()][::-1], np.int64).view(np.uint64)
+
+
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    grams = set(shingles(text or "", words))
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in grams]), ">u8").astype(np.uint64))
+
+
+def _prefixes(first: DataFrame, common: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """(id, n, bits, prefix, whole): distinct shingles, their parity bitmap, the first of them in one order of all shingles, a digest of all.
+
+    A set that is similar to one of n shingles shares at least similarity * n with it, so two similar sets share one of the first
+    n - ceil(similarity * n) + 1 of each. A bit of the bitmap is the parity of the hashes that fall on it, so two sets differ
+    in at least as many shingles as their bitmaps in bits.
+    """
+    by_hash = np.argsort(common)
+    in_order = common[by_hash]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, bits, prefix, whole = [], [], [], []
+            for t in b.column(1):
+                h = _hashes(t.as_py(), words)
+                rank = np.zeros(len(h), np.int64)
+                if len(common) and len(h):
+                    at = np.minimum(np.searchsorted(in_order, h), len(common) - 1)
+                    rank = np.where(in_order[at] == h, by_hash[at] + 1, 0)
+                length = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+                n.append(len(h))
+                bits.append(np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).tobytes())
+                prefix.append(h[np.lexsort((h, rank))[:length]].view(np.int64))
+                whole.append(xxhash.xxh3_128_digest(h.tobytes()))
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(whole, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "bits", "prefix", "whole"])
+
+    return first.mapInArrow(run, "id long, n long, bits binary, prefix array<bigint>, whole binary")
+
+
+def _met(rows: list[np.ndarray], similarity: float, best: bool) -> np.ndarray | None:
+    """(a, b, ra, rb, differing bits) of the pairs of one unit that have different roots and can be similar.
+
+    rows: id, root, n, side, bits as columns. Members of one side don't meet unless the unit has one side only.
+    With best, one pair of each two roots.
+    """
+    ids, root, n, side, bits = rows
+    one = side.min() == side.max()
+    x, y = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max()))
+    differ = np.zeros((len(x), len(y)), np.int64)
+    for w in range(bits.shape[1]):
+        differ += np.bitwise_count(bits[x, w][:, None] ^ bits[y, w][None, :])
+    both = n[x][:, None] + n[y][None, :]
+    shared = np.minimum((both - differ) // 2, np.minimum(n[x][:, None], n[y][None, :]))
+    ok = (root[x][:, None] != root[y][None, :]) & (shared >= similarity * (both - shared) - 1e-9)
+    i, j = np.nonzero(np.triu(ok, 1) if one else ok)
+    if not len(i):
+        return None
+    d, i, j = differ[i, j], x[i], y[j]
+    swap = (root[i] > root[j]) if best else (ids[i] > ids[j])
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    out = np.stack([ids[i], ids[j], root[i], root[j], d])
+    if best:
+        order = np.lexsort((d, root[j], root[i]))
+        out = out[:, order]
+        out = out[:, np.r_[True, (np.diff(out[2]) != 0) | (np.diff(out[3]) != 0)]]
+    return out
+
+
+def _exact_pairs(sets: DataFrame, roots: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """(a, b): pairs of different roots that share a prefix shingle and whose sizes and bitmaps let them be similar.
+
+    Every similar pair of different roots is among them; with best, one pair of each two roots, the nearest by bitmap.
+    A posting of over UNIT members meets block by block, so that no task gets it whole and no member is left out.
+    """
+    rooted = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    by = Window.partitionBy("key")
+    rows = rooted.select("id", "root", F.explode("prefix").alias("key"))
+    rows = rows.withColumns({"c": F.count("*").over(by), "low": F.min("root").over(by), "high": F.max("root").over(by)}).where("low < high")
+    rows = staged(rows.select("key", "id", "root", "c"), "prefixes")
+    blocks = F.ceil(F.col("c") / UNIT)
+    rows = rows.withColumn("m", blocks).withColumn("side", F.pmod(F.xxhash64("id"), F.col("m")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    unit = F.struct("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    rows = rows.select("id", "root", "side", unit.alias("unit")).join(sets.select("id", "n", "bits"), "id")
+    rows = rows.select("id", "root", "n", "side", "bits", "unit.key", "unit.i", "unit.j").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            # a unit of two blocks may hold members of one only: those meet in that block's own unit
+            if len(rows[0]) > 1 and (rows[5][0] == rows[6][0] or rows[3].min() != rows[3].max()):
+                out = _met(rows[:5], similarity, best)
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "ra", "rb", "d"])
+
+        held, at = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ints = [b.column(k).to_numpy() for k in (0, 1, 2, 3, 5, 6, 7)]
+            bits = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            unit = np.stack(ints[4:])
+            starts = [0, *(np.flatnonzero((np.diff(unit) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                here = tuple(unit[:, lo].tolist())
+                if here != at and held:
+                    yield from flush(held)
+                    held = []
+                at = here
+                held.append([*(c[lo:hi] for c in ints[:4]), bits[lo:hi], ints[5][lo:hi], ints[6][lo:hi]])
+        if held:
+            yield from flush(held)
+
+    met = rows.mapInArrow(run, "a long, b long, ra long, rb long, d long")
+    if best:
+        met = met.groupBy("ra", "rb").agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, key_bytes: int = 3, keys: int = 160, min_matches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,8 +386,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pl
     than min_matches, or more differing bits than `_near` allows, are dropped and the rest compared by their whole shingle sets. Key tuples are chosen, not
     exhaustive: by simulation a single pair is found with probability 0.78 at Jaccard 0.8, 0.92 at 0.85, 0.99 from 0.9;
     a member of a larger group has several chances. For over 10^8 distinct texts raise key_bytes to 4 and keys to 600.
-    Postings up to PAIRED_WIDE members give all near pairs that are still apart; a larger one links each member to its least
-    member, to its neighbour by id, and, if it did not come to the least, to its neighbour among those that did not.
+    Postings up to PAIRED_WIDE members give all near pairs that are still apart; a larger one links each member to its least.
+    The keys only save work: every pair at `similarity` that they leave apart is then found by `_exact_pairs`.
     Texts without words are one group; null ids: see `simhash_components`.
     """
     spark = docs.sparkSession
@@ -272,7 +398,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pl
     exact = staged(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "exact")
     keyed = base.withColumns({"h1": F.xxhash64(norm), "h2": F.md5(norm.cast("binary"))})
     reps = exact.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    first = keyed.join(reps, "doc_id").where("h1 = k1 and h2 = k2").select("doc_id", "text").dropDuplicates(["doc_id"])
+    first = staged(keyed.join(reps, "doc_id").where("h1 = k1 and h2 = k2").select("doc_id", "text").dropDuplicates(["doc_id"]), "first")
     f = staged(fingerprints(first, words, planes), "wide").withColumnRenamed("doc_id", "id")
     tuples = position_tuples(8 * planes, key_bytes, keys)
     # the first keys link most of a group; after them all postings only look at pairs that are still apart
@@ -284,18 +410,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pl
     links = [staged(_verified(tried, first, words, similarity), "links")]
     if tuples[FIRST_KEYS:]:
         shared = shared.unionByName(_wide_postings(f, tuples[FIRST_KEYS:], FIRST_KEYS, 8 * planes))
-    for members in ("all", "apart"):
+    # the other keys, while a posting is small or its least member is near
+    roots = staged(components(reduce(DataFrame.unionByName, links)), "roots")
+    rooted = staged(f.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    known = staged(shared.join(rooted, "id"), "known")
+    large = known.where(F.col("c") > PAIRED_WIDE)
+    cand = _small_pairs(known, PAIRED_WIDE, near).unionByName(_stars(large, _least(large), near))
+    cand = staged(cand.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+    links.append(staged(_verified(cand, first, words, similarity), "links"))
+    tried = tried.unionByName(cand)
+    # the exact rest: sets that are equal, then one pair of each two groups that may touch, then all pairs still apart
+    sets = staged(_prefixes(first, _common(first, f.count(), words), words, similarity), "sets")
+    equal = sets.select("id", F.min("id").over(Window.partitionBy("whole")).alias("a")).where("id <> a").select("a", F.col("id").alias("b"))
+    links.append(staged(equal, "links"))
+    for best in (True, False):
         roots = staged(components(reduce(DataFrame.unionByName, links)), "roots")
-        rooted = staged(f.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-        wanted = shared if members == "all" else shared.where(F.col("c") > PAIRED_WIDE)
-        known = staged(wanted.join(rooted, "id"), "known")
-        large = known.where(F.col("c") > PAIRED_WIDE)
-        least = _least(large)
-        if members == "all":
-            cand = _small_pairs(known, PAIRED_WIDE, near).unionByName(_stars(large, least, near)).unionByName(_chains(large, near))
-        else:  # members of large postings that did not come to their least member are chained without those that did
-            cand = _chains(large.join(least, "key").where("root <> ra").drop("a", "ra", "fa"), near)
-        cand = staged(cand.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+        cand = staged(_exact_pairs(sets, roots, similarity, best).join(tried, ["a", "b"], "left_anti"), "candidates")
         links.append(staged(_verified(cand, first, words, similarity), "links"))
         tried = tried.unionByName(cand)
     roots = components(reduce(DataFrame.unionByName, links))

@@ -57,3 +57,23 @@ def test_unit_blocks_meet_once():
     ids, n, side = np.arange(40), np.full(40, 100), np.repeat([0, 1], 20)
     out = simhash._met([ids, ids, n, side, bits], 0.8, False)
     assert sorted(zip(out[0].tolist(), out[1].tolist(), strict=True)) == [(i, i + 20) for i in range(20)]
+
+
+def test_short_texts_and_repeats(spark):
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(200):  # 4 of 5 shingles shared: 0.8
+        w = new(9)
+        texts += [" ".join(w[:8]), " ".join(w)]
+    for _ in range(50):  # a passage once and twenty times: the same set but for the seams
+        w, passage = new(104), new(24)
+        texts += [" ".join(w + passage), " ".join(w + passage * 20)]
+    for edits in (4, 5, 6):  # 0.82, 0.78 and 0.74 at least
+        for _ in range(100):
+            w = new(204)
+            v = list(w)
+            for p in rng.sample(range(4, 200), edits):
+                v[p] = "changed"
+            texts += [" ".join(w), " ".join(v)]
+    assert found(spark, texts) == brute(texts)

@@ -61,9 +61,10 @@ def _planes(h: np.ndarray, planes: int) -> list[np.ndarray]:
     return out
 
 
-def simhash(text: str | None, words: int, planes: int = 1) -> list[int]:
-    """One unsigned 64-bit number a plane: a bit is 1 if set in over half of the shingles' XXH64 (seed 42)."""
+def simhash(text: str | None, words: int, planes: int = 1, distinct: bool = False) -> list[int]:
+    """One unsigned 64-bit number a plane: a bit is 1 if set in over half of the shingles' XXH64 (seed 42), repeats counted unless distinct."""
     grams = shingles(text or "", words)
+    grams = list(set(grams)) if distinct else grams
     if not grams:
         return [0] * planes
     ones = np.zeros((planes, 64), np.int64)
@@ -75,13 +76,13 @@ def simhash(text: str | None, words: int, planes: int = 1) -> list[int]:
     return [int.from_bytes(x.tobytes(), "big") for x in bits]
 
 
-def fingerprints(docs: DataFrame, words: int = 3, planes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, planes: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """(doc_id, f array<long>): the fingerprint of each row, 64 bits a plane, as signed longs. Null texts have no words."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([simhash(t.as_py(), words, planes) for t in b.column(1)], np.uint64).astype(np.int64).reshape(-1, planes)
+            f = np.array([simhash(t.as_py(), words, planes, distinct) for t in b.column(1)], np.uint64).astype(np.int64).reshape(-1, planes)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(f), pa.list_(pa.int64()))], ["doc_id", "f"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -383,9 +384,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pl
 
     The least id of a group stays. Exact copies are one class first. A pair at Jaccard 0.8 differs in 15 % of simhash
     bits, at 0.9 in 10 %; over 32 bytes it shares 9 or 13 bytes on average, an unrelated pair 0.1, so pairs with fewer
-    than min_matches, or more differing bits than `_near` allows, are dropped and the rest compared by their whole shingle sets. Key tuples are chosen, not
-    exhaustive: by simulation a single pair is found with probability 0.78 at Jaccard 0.8, 0.92 at 0.85, 0.99 from 0.9;
-    a member of a larger group has several chances. For over 10^8 distinct texts raise key_bytes to 4 and keys to 600.
+    than min_matches, or more differing bits than `_near` allows, are left to the exact rest and the others compared by their
+    whole shingle sets. For over 10^8 distinct texts raise key_bytes to 4 and keys to 600.
     Postings up to PAIRED_WIDE members give all near pairs that are still apart; a larger one links each member to its least.
     The keys only save work: every pair at `similarity` that they leave apart is then found by `_exact_pairs`.
     Texts without words are one group; null ids: see `simhash_components`.
@@ -399,7 +399,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pl
     keyed = base.withColumns({"h1": F.xxhash64(norm), "h2": F.md5(norm.cast("binary"))})
     reps = exact.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
     first = staged(keyed.join(reps, "doc_id").where("h1 = k1 and h2 = k2").select("doc_id", "text").dropDuplicates(["doc_id"]), "first")
-    f = staged(fingerprints(first, words, planes), "wide").withColumnRenamed("doc_id", "id")
+    f = staged(fingerprints(first, words, planes, distinct=True), "wide").withColumnRenamed("doc_id", "id")
     tuples = position_tuples(8 * planes, key_bytes, keys)
     # the first keys link most of a group; after them all postings only look at pairs that are still apart
     near = lambda a, b: _near(a, b, planes, similarity, min_matches)

@@ -8,7 +8,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.operators.core import greedy_keep
@@ -56,8 +56,8 @@ def chunks(articles: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_dup_keep(articles: DataFrame, id_col: str, text_col: str, date_col: str, words: int = 5, similarity: float = 0.86) -> DataFrame:
     """Ids kept by greedy near-duplicate removal, oldest first.
 
-    Candidates share one of 16 bands of 4 minima of hashed shingles; each member of a band's bucket is paired with the
-    bucket's earliest and previous members, and pairs are verified by exact Jaccard.
+    Of equal shingle sets the oldest stands for all: what drops it drops its copies too. Candidates share one of 16 bands of
+    4 minima of hashed shingles; all members of a band's bucket are paired, and pairs are verified by exact Jaccard.
     """
     spark = articles.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -67,16 +67,18 @@ def near_dup_keep(articles: DataFrame, id_col: str, text_col: str, date_col: str
     order = articles.select(F.col(id_col).alias("id"), F.struct(date_col, id_col).alias("rank"))
     w = F.filter(F.split(F.lower(F.trim(text_col)), r"\s+"), lambda x: x != "")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, words), " "))))
-    base = articles.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w") > 0).select("id", grams.alias("g")).checkpoint()
-    least = [F.array_min(F.transform("g", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(64)]
-    bands = base.select("id", F.explode(F.array(*[F.xxhash64(F.lit(b), *least[4 * b : 4 * b + 4]) for b in range(16)])).alias("band"))
-    by = Window.partitionBy("band").orderBy("id")
-    pairs = bands.withColumns({"first": F.first("id").over(by), "before": F.lag("id").over(by)}).where("before is not null")
-    pairs = pairs.select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("id").alias("b")).distinct()
-    both = pairs.join(base.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(base.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    base = articles.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w") > 0).select("id", F.array_sort(grams).alias("g")).checkpoint()
+    oldest = base.join(order, "id").groupBy("g").agg(F.min(F.struct("rank", "id")).alias("x"))
+    classes = oldest.select("x.id", "g").checkpoint()
+    copies = base.join(classes.select("id"), "id", "left_anti").select("id")
+    minimum = lambda k: F.array_min(F.transform("g", lambda x: F.xxhash64(x, F.lit(k))))  # noqa: E731  (a second parameter of the inner lambda would be the index)
+    least = [minimum(k) for k in range(64)]
+    bands = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(b), *least[4 * b : 4 * b + 4]) for b in range(16)])).alias("band"))
+    pairs = bands.withColumnRenamed("id", "a").join(bands.withColumnRenamed("id", "b"), "band").where("a < b").select("a", "b").distinct()
+    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(classes.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     same = F.size(F.array_intersect("ga", "gb"))
     linked = both.where(same >= similarity * (F.size("ga") + F.size("gb") - same)).select("a", "b")
-    return greedy_keep(order, linked)
+    return greedy_keep(order.join(copies, "id", "left_anti"), linked)
 
 
 def snap(value: str | None, allowed: Sequence[str], cutoff: float = 0.6) -> tuple[str | None, str]:

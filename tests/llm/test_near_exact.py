@@ -55,8 +55,15 @@ def test_unit_blocks_meet_once():
     bits = rng.integers(0, 1 << 63, (40, 16)).astype(np.uint64)
     bits[20:] = bits[:20]
     ids, n, side = np.arange(40), np.full(40, 100), np.repeat([0, 1], 20)
-    out = simhash._met([ids, ids, n, side, bits], 0.8, False)
+    two = [ids, ids, n, side, np.zeros(40, int), np.ones(40, int), np.ones(40, int), bits]
+    out = simhash._met(two, 0.8, 0)
     assert sorted(zip(out[0].tolist(), out[1].tolist(), strict=True)) == [(i, i + 20) for i in range(20)]
+    one = [*two[:3], np.zeros(40, int), np.zeros(40, int), np.zeros(40, int), *two[6:]]
+    assert len(simhash._met(one, 0.8, 0)[0]) == 20
+    many = [ids, ids // 20, n, side, *two[4:7], np.repeat(bits[:1], 40, axis=0)]  # all equal, two roots
+    assert simhash._met(many, 0.8, 0).shape[1] == 400
+    out = simhash._met(many, 0.8, 3)
+    assert out.shape[1] == 3 and out[4].all()
 
 
 def test_short_texts_and_repeats(spark):
@@ -77,3 +84,35 @@ def test_short_texts_and_repeats(spark):
                 v[p] = "changed"
             texts += [" ".join(w), " ".join(v)]
     assert found(spark, texts) == brute(texts)
+
+
+def test_recall_at_the_limit(spark):
+    """Pairs planted at 0.80 to 0.86 are all found, by groups large and small."""
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(300):
+        w = new(rng.randrange(60, 400))
+        v = list(w)
+        while True:
+            u = list(v)
+            u[rng.randrange(len(u))] = f"e{rng.randrange(10**9)}"
+            a, b = (set(simhash.shingles(" ".join(t), 5)) for t in (w, u))
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            v = u
+        texts += [" ".join(w), " ".join(v)]
+    assert found(spark, texts) == brute(texts)
+
+
+def test_rows(spark):
+    """Nulls, repeats, an id with two texts, extra columns, empty tables: one row a group stays."""
+    long = " ".join(f"t{i}" for i in range(40))
+    rows = [(7, long, "x", 1), (3, long, "x", 2), (3, long, "x", 2), (3, long + " more", "x", 2), (None, long, "x", 3), (None, None, "x", 1), (None, "", "x", 1), (None, " \n", "x", 1), (9, "other", "x", 1), (9, "others", "x", 1), (None, "alone", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string, cls int")
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert {str(r.doc_id) for r in got if r.keep} == {"3", "9", "None"} and {r.component_id for r in got} == {3, 9, None}
+    classes = simhash.near_classes(docs)
+    assert classes.where("keep").count() == classes.select("root").distinct().count() == 5
+    assert simhash.near_classes(docs.limit(0)).count() == simhash.near_duplicates(docs.limit(0)).count() == 0

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +56,11 @@ def unstage(df: DataFrame) -> None:
         _remove(df.sparkSession, f)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the rows of Arrow batches planned from here on, so that a batch of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, which Spark bounds by bytes (spark.sql.execution.arrow.maxBytesPerBatch), of a few rows each."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Column, salt: Column, big_key: str, small_key: str) -> DataFrame:
@@ -92,7 +96,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     executors; each round is a written table.
     """
     e = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -103,12 +106,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = big.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         nxt = staged(small, "small-star")
         unstage(big)
-        mark = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         unstage(e)
         e = nxt
-        if mark == seen:
+        # settled once every node has one edge, to a node without any
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        if ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or ups = 1 and least = 0").isEmpty():
             break
-        seen = mark
     else:
         raise RuntimeError("components did not settle")
     # settled: stars around each least node

@@ -11,17 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import held_out, small_batches
+from tidegraph.llm.common import held_out, sliced
 
 BITS = 16
 FEATURES = 1 << BITS
-#: Labelled rows that the classifier is fitted on, at most: those with the least hashes of their ids.
+#: Labelled rows that the classifier is fitted on, at most: of each label those with the least hashes.
 SAMPLE_ROWS = 1200
 UNKNOWN = "und"
 _SCALE = 40.0
@@ -83,11 +84,9 @@ class LanguageModel:
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """In how many texts each feature occurs: counted in each task, then added up by feature (FEATURES rows at most)."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, seen = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, bool)
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0):
                 seen[:] = False
                 for h in features(t.as_py()):
@@ -103,12 +102,24 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def _sample(docs: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, feature ids, counts) of a bounded sample; at most FEATURES pairs a row reach the driver."""
-    small_batches(docs.sparkSession)
-    some = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).orderBy("h", "label").limit(rows)
+    """(label, feature ids, counts) of a bounded sample; at most FEATURES pairs a row reach the driver.
+
+    Each label has an equal quota of the rows, so a rare one is learned too. Keys of 60 bits are drawn by hash alone: a threshold
+    first found on a count a label leaves about twice the quota, of which the least go on; texts never move for it.
+    """
+    keyed = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.shiftrightunsigned(F.xxhash64(id_col, text_col), 4).alias("h"))
+    counts = {r["label"]: r["count"] for r in keyed.groupBy("label").count().collect()}  # a row a label
+    quota = max(1, rows // max(1, len(counts)))
+    if not counts:
+        return []
+    limit = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1 << 60, int((2 * quota + 20) / n * (1 << 60))))) for k, n in counts.items()))
+    near = keyed.select("label", "h").where(F.col("h") <= limit[F.col("label")]).distinct()
+    least = near.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("at") <= quota).select("label", "h")
+    some = keyed.join(F.broadcast(least.withColumnsRenamed({"label": "_label", "h": "_h"})), (F.col("label") == F.col("_label")) & (F.col("h") == F.col("_h")))
+    some = some.dropDuplicates(["label", "h"])  # a row that repeats a row of the sample is not learned twice: rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for t in b.column(1):
                 counts = np.zeros(FEATURES, np.int64)
@@ -179,23 +190,26 @@ def fit_language_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col:
     return LanguageModel(langs, (idf[:, None] * w).astype(np.float32), bias, fit_temperature(logits, np.array([y for y, _, _ in apart], int)))
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), one row per input row, from the text alone.
+def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score), one row per input row, from the text alone; with carry also text and a struct
+    `row` of those columns, so that a filter needs no join.
 
     Null texts and texts without a letter are `und` with score 0, as is everything if the model knows no language.
     A null id is held out of nothing (false). Ties go to the language first in code-point order; repeated rows get
     equal values; an empty table gives an empty result; extra columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # FEATURES rows, a column a language
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in sliced(batches):
             got = [m.predict(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            cols = [b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), *b.columns[2 if carry else 3 :]]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
+    schema = f"doc_id {kind}, held_out boolean, lang_pred string, score double" + (f", text string, row {rows.schema['row'].dataType.simpleString()}" if carry else "")
+    names = ["doc_id", "held_out", "lang_pred", "score", *(("text", "row") if carry else ())]
+    return rows.mapInArrow(run, schema)

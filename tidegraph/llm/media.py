@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import small_batches
+from tidegraph.llm.common import sliced
 
 #: Bytes of a row of samples, the unit payloads are padded to.
 UNIT = 576
@@ -148,12 +148,11 @@ def media_features(media: DataFrame, key_cols: list[str], media_col: str = "medi
 
     Null, empty or broken media give nulls and the reason in error; repeated rows repeat; extra columns are not read.
     """
-    small_batches(media.sparkSession, 64)
     fields = [media.schema[k] for k in key_cols]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", height int, width int, dhash string, tile binary, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 64):
             out: list[tuple] = []
             for x in b.column(len(key_cols)):
                 try:
@@ -172,11 +171,10 @@ def media_features(media: DataFrame, key_cols: list[str], media_col: str = "medi
 def payload_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text's UTF-8 bytes, padded with 255 to a positive multiple of 576, as the
     samples of a greymap 576 wide. Null texts are empty: one row of padding."""
-    small_batches(docs.sparkSession, 64)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 64):
             raw = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             media = [encode_pgm(x + b"\xff" * (-len(x) % UNIT or (0 if x else UNIT))) for x in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -191,7 +189,7 @@ def media_digests(images: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 64):
             rows = []
             for x in b.column(2):
                 data = x.as_py()

@@ -1,10 +1,11 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree over blocks of documents.
 
-All of it is DataFrame operations. Documents of a source are dealt into blocks by a hash of their id; a source's tape
-is its blocks in order, repeated at most `max_passes` times, and its quota is the tape's first `floor(target)` words.
-The quotas, in blocks, are split among output shards by a binary tree whose every node draws the left half's counts from
-the multivariate hypergeometric distribution; a shard then takes disjoint runs of each source's permuted blocks, and
-`write_mix` shuffles rows within a shard.
+All of it is DataFrame operations. Documents of a source are dealt into blocks by a hash of id and text; a source's tape
+is its blocks in permuted order, repeated at most `max_passes` times, and its quota is the tape's first `floor(target)`
+words. The quotas, in blocks, are split among output shards by a binary tree whose every node draws the left half's
+counts from the multivariate hypergeometric distribution; a shard then takes disjoint runs of each source's permuted
+blocks, and `write_mix` shuffles rows within a shard. The tree decides where a block goes, the permutation which blocks
+are drawn.
 """
 
 from __future__ import annotations
@@ -20,35 +21,34 @@ from tidegraph.llm.common import join_small, staged
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks under one step of the two-level running sums.
 SUPER = 256
-_PRIME = 1_000_000_007
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_passes: int = 2, min_passes: int = 0) -> DataFrame:
+def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_passes: int = 2) -> DataFrame:
     """One row per source of (source, source_size, n_docs): adds sid, weight and target.
 
-    Sources by code point, null last, take the weights in turn. `share` times all sizes is dealt by weight between
-    min_passes and max_passes times each size; what is above a limit is dealt again by weight, which ends at
+    Sources by code point, null last, take the weights in turn. `share` times all sizes is dealt by weight up to
+    max_passes times each size; what is above a limit is dealt again by weight, which ends at
     target = min(limit, level * weight) with one level for all: found by running sums in the order limit / weight.
-    The windows hold one row per source.
+    The windows hold one row per source, as does the array of quotas that the tree splits: sources are few beside documents.
     """
     byname = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("sid", F.row_number().over(byname) - 1)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
-    room = (F.col("source_size") * (max_passes - min_passes)).cast("double")
+    room = (F.col("source_size") * max_passes).cast("double")
     whole = Window.partitionBy()
-    ranked = ranked.withColumns({"weight": w, "room": room, "floor": (F.col("source_size") * min_passes).cast("double")})
-    ranked = ranked.withColumns({"ratio": F.col("room") / F.col("weight"), "budget": F.greatest(F.lit(0.0), F.sum("source_size").over(whole) * F.lit(float(share)) - F.sum("floor").over(whole))})
+    ranked = ranked.withColumns({"weight": w, "room": room})
+    ranked = ranked.withColumns({"ratio": F.col("room") / F.col("weight"), "budget": F.sum("source_size").over(whole) * F.lit(float(share))})
     order = Window.orderBy("ratio", "sid")
     before = F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     ranked = ranked.withColumn("level", (F.col("budget") - before) / after)
     found = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "sid", "level"))).over(whole)
     ranked = ranked.withColumn("found", found["level"])
-    target = F.col("floor") + F.least(F.col("room"), F.coalesce(F.greatest(F.col("found"), F.lit(0.0)) * F.col("weight"), F.col("room")))
+    target = F.least(F.col("room"), F.coalesce(F.greatest(F.col("found"), F.lit(0.0)) * F.col("weight"), F.col("room")))
     return ranked.withColumn("target", target).select("source", "sid", "n_docs", "source_size", "weight", "target")
 
 
@@ -92,29 +92,30 @@ def split_quotas(root: DataFrame, shards: int, total: int, seed: int) -> DataFra
     return node.select(F.col("lo").alias("shard"), "counts")
 
 
-def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_passes: int = 2, min_passes: int = 0, docs_per_block: int = 64, blocks_per_shard: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, draws, taken), one row per input row.
+def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_passes: int = 2, docs_per_block: int = 64, blocks_per_shard: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, row_key, source, size, source_size, target, draws, taken), one row per input row.
 
     draws: array of (pass, shard, words), the passes in which the document's block was drawn and the words taken then;
-    taken: their words. Null or blank texts have size 0 and take no words; a null source is a source, last in order;
-    rows that repeat an id are documents of their own in one block; an empty table gives an empty result; extra columns
-    are not read. A source's taken words equal floor(target) exactly. The same input gives the same rows.
+    taken: their words; row_key: `row_key` of id and text. Null or blank texts have size 0 and take no words; a null
+    source is a source, last in order; rows that repeat an id are documents of their own; an empty table gives an empty
+    result; extra columns are not read. A source's taken words equal floor(target) exactly. The same input gives the same rows.
     """
     spark = docs.sparkSession
-    sized = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
+    sized = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_key(id_col, text_col).alias("row_key")), "sized")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    src = staged(source_targets(sums, weights, share, max_passes, min_passes), "sources")
-    h = F.xxhash64("doc_id", F.lit(seed))
+    src = staged(source_targets(sums, weights, share, max_passes), "sources")
+    h = F.xxhash64("row_key", F.lit(seed))
     near = src.select(F.col("source").alias("_source"), "sid", "n_docs", "source_size", "target")
     keyed = join_small(sized.withColumn("h", h), near, F.col("source").eqNullSafe(F.col("_source")), F.col("h"), "source", "_source").drop("_source")
     keyed = keyed.withColumn("block", F.pmod("h", F.ceil(F.col("n_docs") / docs_per_block)))
 
-    blocks = keyed.groupBy("sid", "block", "source_size", "target").agg(F.sum("size").alias("words")).withColumn("sup", F.expr(f"block div {SUPER}"))
+    blocks = keyed.groupBy("sid", "block", "source_size", "target", "n_docs").agg(F.sum("size").alias("words")).withColumn("turn", F.xxhash64("sid", "block", F.lit(seed)))
+    blocks = blocks.withColumn("sup", F.pmod("turn", F.ceil(F.col("n_docs") / (docs_per_block * SUPER))))
     blocks = staged(blocks, "blocks")
     before = Window.partitionBy("sid").orderBy("sup").rowsBetween(Window.unboundedPreceding, -1)
     sup = blocks.groupBy("sid", "sup").agg(F.sum("words").alias("w"), F.count("*").alias("k"))
     sup = sup.select("sid", "sup", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"), F.sum("k").over(Window.partitionBy("sid")).alias("n_blocks"))
-    inner = Window.partitionBy("sid", "sup").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("sid", "sup").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.join(sup, ["sid", "sup"]).select(
         "sid", "block", "source_size", "target", "n_blocks",
         (F.col("w0") + F.coalesce(F.sum("words").over(inner), F.lit(0))).alias("start"),
@@ -124,19 +125,18 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_pass
     reach = F.greatest(F.lit(0), F.least(F.floor("target") - F.col("pass") * F.col("source_size"), F.col("source_size")))
     draws = blocks.select("*", passes).withColumn("reach", reach)
     draws = draws.where((F.col("reach") > 0) & ((F.col("start") < F.col("reach")) | (F.col("reach") == F.col("source_size"))))
-    draws = staged(draws.select("sid", "block", "start", "reach", "pass", (F.col("pass") * F.col("n_blocks") + F.col("ordinal")).alias("u")), "draws")
+    draws = staged(draws.select("sid", "block", "start", "reach", "pass", (F.col("pass") * F.col("n_blocks") + F.col("ordinal")).alias("k")), "draws")
 
     quotas = draws.groupBy("sid").agg(F.count("*").alias("quota"))
     total = draws.count()
     shards = max(1, math.ceil(total / blocks_per_shard))
     root = quotas.agg(F.sort_array(F.collect_list(F.struct("sid", "quota"))).alias("q"))
     counts = split_quotas(root.select("q", F.transform("q", lambda x: x["quota"]).alias("counts")).select("counts"), shards, total, seed)
-    sids = F.broadcast(root.select(F.posexplode("q").alias("i", "s"))).select("i", F.col("s.sid").alias("sid"), F.col("s.quota").alias("quota"))
+    sids = root.select(F.posexplode("q").alias("i", "s")).select("i", F.col("s.sid").alias("sid"), F.col("s.quota").alias("quota"))
     runs = counts.select("shard", F.posexplode("counts").alias("i", "n"))
     runs = runs.withColumn("k0", F.sum("n").over(Window.partitionBy("i").orderBy("shard")) - F.col("n")).where("n > 0")
     runs = runs.join(sids, "i").select("sid", F.col("shard").cast("int").alias("shard"), F.explode(F.sequence(F.col("k0"), F.col("k0") + F.col("n") - 1)).alias("k"))
-    turned = draws.join(quotas.withColumnRenamed("sid", "qsid"), F.col("sid") == F.col("qsid")).withColumn("k", F.pmod(F.col("u") * (F.lit(_PRIME) % F.col("quota")) + F.pmod(F.xxhash64("sid", F.lit(seed)), "quota"), "quota"))
-    placed = turned.join(runs, ["sid", "k"]).groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "start", "reach"))).alias("plan"))
+    placed = draws.join(runs, ["sid", "k"]).groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "start", "reach"))).alias("plan"))
     placed = staged(placed, "placed").withColumnsRenamed({"sid": "psid", "block": "pblock"})
 
     inside = Window.partitionBy("sid", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,12 +144,31 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_pass
     out = out.join(placed, (F.col("sid") == F.col("psid")) & (F.col("block") == F.col("pblock")), "left")
     words = lambda d: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), d["reach"] - d["start"] - F.col("before")))
     drawn = F.transform(F.coalesce("plan", F.array().cast("array<struct<pass:int,shard:int,start:bigint,reach:bigint>>")), lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), words(d).alias("words")))
-    out = out.select("doc_id", "source", "size", "source_size", "target", drawn.alias("draws"))
+    out = out.select("doc_id", "row_key", "source", "size", "source_size", "target", drawn.alias("draws"))
     return out.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
 
 
-def write_mix(docs: DataFrame, mix: DataFrame, path: str, seed: int = 42, id_col: str = "doc_id") -> None:
-    """Writes the mixed corpus, a folder per shard, rows of a shard in a shuffled order that reruns repeat."""
-    rows = mix.select("doc_id", F.explode("draws").alias("d")).where("d.words > 0").select("doc_id", "d.*")
-    rows = docs.withColumnRenamed(id_col, "doc_id").join(rows, "doc_id").withColumn("order_key", F.xxhash64("doc_id", "pass", F.lit(seed)))
-    rows.repartition("shard").sortWithinPartitions("shard", "order_key").write.partitionBy("shard").parquet(path)
+def row_key(id_col: str, text_col: str) -> Column:
+    """The key of a row by its id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.lit(29))
+
+
+def mixed_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of docs, mix_shard and mix_pass: a row for each pass that draws at least half of a document's words.
+
+    A source is cut inside one document of a pass at most, so its words come within half a document of its target.
+    Documents without words are never drawn. Rows that repeat id and text are drawn alike, as the one drawn most.
+    """
+    if clash := {"mix_shard", "mix_pass", "_key"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are taken")
+    whole = F.filter("draws", lambda d: (d["words"] > 0) & (d["words"] * 2 >= F.col("size")))
+    drawn = mix.select(F.col("row_key").alias("_key"), whole.alias("_draws")).where(F.size("_draws") > 0)
+    drawn = drawn.groupBy("_key").agg(F.max_by("_draws", F.struct(F.size("_draws"), "_draws")).alias("_draws"))
+    rows = docs.withColumn("_key", row_key(id_col, text_col)).join(drawn, "_key").withColumn("_d", F.explode("_draws"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_d.shard").alias("mix_shard"), F.col("_d.pass").alias("mix_pass"))
+
+
+def write_mix(docs: DataFrame, mix: DataFrame, path: str, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes `mixed_rows`, a folder per shard, rows of a shard in a shuffled order that reruns repeat."""
+    rows = mixed_rows(docs, mix, id_col, text_col).withColumn("_order", F.xxhash64(row_key(id_col, text_col), "mix_pass", F.lit(seed)))
+    rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "_order").drop("_order").write.partitionBy("mix_shard").parquet(path)

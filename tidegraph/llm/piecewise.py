@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import small_batches
+from tidegraph.llm.common import sliced
 
 SPACE = "▁"
 #: Words a worker remembers.
@@ -214,13 +214,12 @@ def encode_digests(docs: DataFrame, model_file: str, check: bool = True, id_col:
 
 
 def _mapped(docs: DataFrame, model_file: str, check: bool, full: bool) -> DataFrame:
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ("ids array<int>, decoded string" if full else "n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_file)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t.as_py() or "" for t in b.column(1)]
             ids = [np.frombuffer(i, "<i4").tolist() for i in coder.encode(texts)]
             if check:

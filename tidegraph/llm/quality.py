@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import held_out, small_batches
+from tidegraph.llm.common import held_out, sliced
 
 #: Labelled documents that the field is fitted on, at most: those with the least hashes of their ids.
 SAMPLE_ROWS = 1500
+#: Lines of one of them that it learns from, at most.
+SAMPLE_LINES = 2000
 THRESHOLD = 0.3
 OWN = 14
 
@@ -170,17 +172,27 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
+def _thinned(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most SAMPLE_LINES consecutive lines of a document to learn from, from its middle; scores take all lines."""
+    at = max(0, (len(x) - SAMPLE_LINES) // 2)
+    return x[at : at + SAMPLE_LINES], n[at : at + SAMPLE_LINES]
+
+
 def fit_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Learns from labelled documents that aren't held out. Without any, all scores are one half."""
-    small_batches(docs.sparkSession)
+    """Learns from labelled documents that aren't held out. Without any, all scores are one half. An id with both labels counts
+    as good; an id with several texts gives each of them."""
     named = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).groupBy("_id").agg(F.max("y").alias("y"))
     some = named.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     # the sample's ids and labels: at most sample_rows rows
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    # an id may repeat: the least rows by hash, and each row once, so that at most sample_rows rows are learned
+    least = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h")).distinct().orderBy(F.xxhash64("doc_id"), "h").limit(sample_rows)
+    least = F.broadcast(least.withColumnsRenamed({"doc_id": "_id", "h": "_h"}))
+    rows = rows.join(least, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("doc_id", "text") == F.col("_h"))).select("doc_id", "text", "y").dropDuplicates(["doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [line_features(t.as_py()) for t in b.column(1)]
+        for b in sliced(batches):
+            got = [_thinned(*line_features(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.astype("<f4").tobytes() for x, _ in got], pa.binary()), pa.array([n.astype("<f8").tobytes() for _, n in got], pa.binary())], ["doc_id", "y", "x", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -196,20 +208,22 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAM
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per input row, from the text alone.
+def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row per input row, from the text alone; with carry also text and a struct
+    `row` of those columns, so that a filter needs no join.
 
     Null, empty and blank texts have no good line: their measure is 0. A null id isn't held out. Repeated rows get equal
     values; an empty table gives an empty result; extra columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             s = model.scores(b.column(2).to_pylist()) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            cols = [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32()), *b.columns[2 if carry else 3 :]]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
+    schema = f"doc_id {kind}, held_out boolean, score double, predicted int" + (f", text string, row {rows.schema['row'].dataType.simpleString()}" if carry else "")
+    names = ["doc_id", "held_out", "score", "predicted", *(("text", "row") if carry else ())]
+    return rows.mapInArrow(run, schema)

@@ -20,7 +20,10 @@ def tokenizer_file(name: str = MODEL) -> str:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Extra column: the draws as pass:shard:words."""
+    mix = mixing.mix_sources(load(spark, sf_dir, "documents"))
+    draws = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["pass"].cast("string"), d["shard"].cast("string"), d["words"].cast("string"))), ",")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", draws.alias("draws"))
 
 
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

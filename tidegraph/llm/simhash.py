@@ -14,6 +14,7 @@ import math
 import random
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +22,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import components, small_batches, staged
+from tidegraph.llm.common import components, sliced, staged
 
-#: Members of a posting up to which its pairs are made.
+#: Members of a posting up to which its pairs are made; of a wide posting, whose candidates are compared by their texts.
 PAIRED = 32
-#: The same for the keys whose links the others build on, where pairs are compared by their texts; the number of those keys.
-PAIRED_FIRST = 8
-FIRST_KEYS = 12
-#: The same for all keys, once the first ones have linked.
-PAIRED_WIDE = 16
+PAIRED_WIDE = 8
 #: Members of a posting that meet in one block of the exact rest; bits of the bitmaps there.
 UNIT = 512
 BITMAP = 1024
-#: Texts whose shingles are counted and most shingles that are then put last, for short postings.
-SAMPLE = 20_000
-COMMON = 50_000
+#: Pairs of two groups that a block gives at first.
+FEW = 4
+#: Least number and share of the texts whose shingles are counted, and most shingles that are then put last, for short postings.
+SAMPLE, SAMPLE_SHARE = 5_000, 1 / 64
+COMMON = 200_000
 _CHUNK = 1 << 16
 
 
@@ -61,28 +60,29 @@ def _planes(h: np.ndarray, planes: int) -> list[np.ndarray]:
     return out
 
 
-def simhash(text: str | None, words: int, planes: int = 1, distinct: bool = False) -> list[int]:
-    """One unsigned 64-bit number a plane: a bit is 1 if set in over half of the shingles' XXH64 (seed 42), repeats counted unless distinct."""
+def _majority(hashes: np.ndarray, planes: int) -> list[int]:
+    """A signed 64-bit number a plane: a bit is 1 if set in over half of the plane's hashes."""
+    ones = np.zeros((planes, 64), np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        for k, z in enumerate(_planes(hashes[i : i + _CHUNK], planes)):
+            ones[k] += np.unpackbits(z.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), axis=1).view(">i8").ravel().tolist()
+
+
+def simhash(text: str | None, words: int, planes: int = 1) -> list[int]:
+    """One unsigned 64-bit number a plane: a bit is 1 if set in over half of the shingles' XXH64 (seed 42), repeats counted."""
     grams = shingles(text or "", words)
-    grams = list(set(grams)) if distinct else grams
     if not grams:
         return [0] * planes
-    ones = np.zeros((planes, 64), np.int64)
-    for i in range(0, len(grams), _CHUNK):
-        h = np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in grams[i : i + _CHUNK]]), ">u8").astype(np.uint64)
-        for k, z in enumerate(_planes(h, planes)):
-            ones[k] += np.unpackbits(z.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(grams), axis=1)
-    return [int.from_bytes(x.tobytes(), "big") for x in bits]
+    return [x % 2**64 for x in _majority(np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in grams]), ">u8").astype(np.uint64), planes)]
 
 
-def fingerprints(docs: DataFrame, words: int = 3, planes: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, planes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, f array<long>): the fingerprint of each row, 64 bits a plane, as signed longs. Null texts have no words."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = np.array([simhash(t.as_py(), words, planes, distinct) for t in b.column(1)], np.uint64).astype(np.int64).reshape(-1, planes)
+        for b in sliced(batches):
+            f = np.array([simhash(t.as_py(), words, planes) for t in b.column(1)], np.uint64).astype(np.int64).reshape(-1, planes)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(f), pa.list_(pa.int64()))], ["doc_id", "f"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -185,11 +185,11 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, id_co
     return f.join(table, F.col("f") == F.col("_f")).select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
-def _verified(close: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of candidate pairs (a, b): those whose shingle sets are similar. close is staged."""
-    wanted = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    texts = staged(docs.join(wanted, "doc_id", "left_semi"), "texts")
-    both = close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+def _verified(close: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of candidate pairs (a, b): those whose shingle sets are similar. close is staged; texts: (id, text)."""
+    wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+    texts = staged(texts.join(wanted, "id", "left_semi"), "texts")
+    both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,33 +197,27 @@ def _verified(close: DataFrame, docs: DataFrame, words: int, similarity: float)
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s, t = set(shingles(x.as_py() or "", words)), set(shingles(y.as_py() or "", words))
                 both = len(s & t)
-                keep.append(both >= similarity * (len(s) + len(t) - both) if s or t else True)
+                keep.append(both >= similarity * (len(s) + len(t) - both) - 1e-9 if s or t else True)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
-
+    return staged(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "links")
 
-def _wide_postings(f: DataFrame, tuples: list[tuple[int, ...]], first: int, n_bytes: int) -> DataFrame:
-    """(key, id, c) of postings with at least two members. Tuples are numbered from `first`.
 
-    The tuples are one literal array, exploded before their bytes are taken, so that the code doesn't grow with their number.
-    """
+def _wide_keys(bytes_: Column, tuples: list[tuple[int, ...]]) -> Column:
+    """Rows of (number of the tuple, its positions), one literal array, so that the code doesn't grow with their number."""
     width = len(tuples[0])
-    if width * 8 > 40 or first + len(tuples) > 1 << 16:
+    if width * 8 > 40 or len(tuples) > 1 << 16:
         raise ValueError("keys don't fit a long")
-    each = F.posexplode(F.array(*[F.array(*map(F.lit, t)) for t in tuples])).alias("n", "t")
-    rows = f.select("id", F.array(*[_byte(F.col("f"), p) for p in range(n_bytes)]).alias("bytes"), each)
-    key = sum((F.shiftleft(F.get("bytes", F.get("t", i)), 8 * i) for i in range(width)), F.shiftleft((F.col("n") + first).cast("long"), 8 * width))
-    rows = rows.select("id", key.alias("key"))
-    return staged(rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"), "postings")
+    one = lambda t, n: reduce(lambda x, i: x + F.shiftleft(F.get(bytes_, t[i]), 8 * i), range(width), F.shiftleft(n.cast("long"), 8 * width))
+    return F.explode(F.transform(F.array(*[F.array(*map(F.lit, t)) for t in tuples]), one))
 
 
 def _near(a: Column, b: Column, planes: int, similarity: float, min_matches: int) -> Column:
     """Whether two fingerprints share min_matches positional bytes and are near enough for the similarity.
 
     At a Jaccard similarity s the shingle sets' cosine is 2s / (1 + s), so a bit differs with the angle's share p of pi;
-    the bound is 4.5 standard deviations over the mean of p (65 of 256 bits at 0.8).
+    the bound is 4.5 standard deviations over the mean of p (65 of 256 bits at 0.8). What it rejects the exact rest finds.
     """
     bits = 64 * planes
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -231,204 +225,229 @@ def _near(a: Column, b: Column, planes: int, similarity: float, min_matches: int
     return (differing_bits(a, b, planes) <= most) & (shared_bytes(a, b, planes) >= min_matches)
 
 
-def _small_pairs(known: DataFrame, most: int, near: Callable[[Column, Column], Column]) -> DataFrame:
-    """(a, b): all near pairs, of different roots, of postings up to `most` members. known: (key, id, c, f, root)."""
-    small = known.where(F.col("c") <= most).select("key", "id", "root", "f")
-    other = small.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("f").alias("fb"))
-    pairs = small.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & near(F.col("f"), F.col("fb")))
-    return pairs.select(F.col("id").alias("a"), "b")
+def _index_pairs(sets: DataFrame, planes: int, key_bytes: int, keys: int, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b): near pairs of the byte-position index. sets: (id, f).
 
+    A posting of up to PAIRED_WIDE members gives all its near pairs. A larger one links each member to a centre, another for
+    each key. Fingerprints travel with the postings, so no join makes a row for a text and key.
+    """
+    tuples = position_tuples(8 * planes, key_bytes, keys)
+    rows = sets.select("id", "f", F.array(*[_byte(F.col("f"), p) for p in range(8 * planes)]).alias("bytes"))
+    rows = rows.select("id", "f", _wide_keys(F.col("bytes"), tuples).alias("key"))
+    centre = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "f"))
+    some = rows.groupBy("key").agg(F.count("*").alias("c"), centre.alias("x")).where("c > 1").select("key", "c", F.col("x.id").alias("a"), F.col("x.f").alias("fa"))
+    # in a large posting only members near the centre go on; small ones keep all
+    shared = rows.join(some, "key").where((F.col("c") <= PAIRED_WIDE) | ((F.col("id") != F.col("a")) & near(F.col("f"), F.col("fa"))))
+    shared = staged(shared.select("key", "id", F.when(F.col("c") <= PAIRED_WIDE, F.col("f")).alias("f"), F.when(F.col("c") > PAIRED_WIDE, F.col("a")).alias("a")), "postings")
+    small = shared.where("a is null").select("key", "id", "f")
+    other = small.select("key", F.col("id").alias("b"), F.col("f").alias("fb"))
+    pairs = small.join(other, "key").where((F.col("id") < F.col("b")) & near(F.col("f"), F.col("fb"))).select(F.col("id").alias("a"), "b")
+    stars = shared.where("a is not null").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    return staged(pairs.unionByName(stars).distinct(), "candidates")
 
-def _least(large: DataFrame) -> DataFrame:
-    """(key, a, ra, fa): the least member of each posting."""
-    return large.groupBy("key").agg(F.min(F.struct("id", "root", "f")).alias("x")).select("key", F.col("x.id").alias("a"), F.col("x.root").alias("ra"), F.col("x.f").alias("fa"))
 
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    grams = set(shingles(text or "", words))
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in grams]), ">u8").astype(np.uint64))
 
-def _stars(large: DataFrame, least: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
-    """(a, b): the least member of each posting, and each near member of another root."""
-    return large.join(least, "key").where((F.col("root") != F.col("ra")) & near(F.col("f"), F.col("fa"))).select("a", F.col("id").alias("b"))
 
+def _common(first: DataFrame, words: int) -> np.ndarray:
+    """Hashes of shingles that several texts of a sample hold, most common last. Only an order: results don't depend on it.
 
-def _common(first: DataFrame, rows: int, words: int) -> np.ndarray:
-    """Hashes of shingles that several texts of a bounded sample hold, most common last. Only an order: results don't depend on it."""
-    share = min(1.0, SAMPLE / max(rows, 1))
-    some = first.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    The sample grows with the texts; the COMMON hashes at most that reach the driver are those over a count found from a histogram.
+    """
+    share = max(SAMPLE_SHARE, min(1.0, SAMPLE / max(first.count(), 1)))
+    some = first.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [_hashes(t.as_py(), words) for t in b.column(1)]
+        for b in sliced(batches):
+            found = [_hashes(t.as_py(), words) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
 
-    often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
-    return np.array([r.h for r in often.collect()][::-1], np.int64).view(np.uint64)
-
-
-def _hashes(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    grams = set(shingles(text or "", words))
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in grams]), ">u8").astype(np.uint64))
+    often = staged(some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    least, total = 2, 0
+    for r in often.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():  # a row for each count that occurs
+        total += r.k
+        if total > COMMON:
+            least = r.n + 1
+            break
+    found = sorted(often.where(F.col("n") >= least).collect(), key=lambda r: (r.n, r.h))
+    return np.array([r.h for r in found], np.int64).view(np.uint64)
 
 
-def _prefixes(first: DataFrame, common: np.ndarray, words: int, similarity: float) -> DataFrame:
-    """(id, n, bits, prefix, whole): distinct shingles, their parity bitmap, the first of them in one order of all shingles, a digest of all.
+def _shingle_sets(first: DataFrame, common: np.ndarray, words: int, similarity: float, planes: int) -> DataFrame:
+    """(id, n, f, bits, prefix, whole): distinct shingles, their fingerprint and parity bitmap, the first of them in one order
+    of all shingles, a digest of all. One pass over the texts.
 
     A set that is similar to one of n shingles shares at least similarity * n with it, so two similar sets share one of the first
     n - ceil(similarity * n) + 1 of each. A bit of the bitmap is the parity of the hashes that fall on it, so two sets differ
     in at least as many shingles as their bitmaps in bits.
     """
     by_hash = np.argsort(common)
-    in_order = common[by_hash]
+    order = first.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))  # COMMON entries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, bits, prefix, whole = [], [], [], []
+        in_order, rank_of = order.value
+        for b in sliced(batches):
+            n, f, bits, prefix, whole = [], [], [], [], []
             for t in b.column(1):
                 h = _hashes(t.as_py(), words)
                 rank = np.zeros(len(h), np.int64)
-                if len(common) and len(h):
-                    at = np.minimum(np.searchsorted(in_order, h), len(common) - 1)
-                    rank = np.where(in_order[at] == h, by_hash[at] + 1, 0)
+                if len(in_order) and len(h):
+                    at = np.minimum(np.searchsorted(in_order, h), len(in_order) - 1)
+                    rank = np.where(in_order[at] == h, rank_of[at] + 1, 0)
                 length = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
                 n.append(len(h))
+                f.append(_majority(h, planes))
                 bits.append(np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).tobytes())
                 prefix.append(h[np.lexsort((h, rank))[:length]].view(np.int64))
                 whole.append(xxhash.xxh3_128_digest(h.tobytes()))
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(whole, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "bits", "prefix", "whole"])
+            longs = pa.list_(pa.int64())
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(f, longs), pa.array(bits, pa.binary()), pa.array(prefix, longs), pa.array(whole, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "f", "bits", "prefix", "whole"])
 
-    return first.mapInArrow(run, "id long, n long, bits binary, prefix array<bigint>, whole binary")
+    return staged(first.select("id", "text").mapInArrow(run, "id long, n long, f array<bigint>, bits binary, prefix array<bigint>, whole binary"), "sets")
 
 
-def _met(rows: list[np.ndarray], similarity: float, best: bool) -> np.ndarray | None:
-    """(a, b, ra, rb, differing bits) of the pairs of one unit that have different roots and can be similar.
+def _met(rows: list[np.ndarray], similarity: float, few: int) -> np.ndarray | None:
+    """(a, b, ra, rb, withheld) of the pairs that meet in a unit, have different roots and can be similar.
 
-    rows: id, root, n, side, bits as columns. Members of one side don't meet unless the unit has one side only.
-    With best, one pair of each two roots.
+    rows: id, root, n, side, i, j, number of the unit, bits as columns, units whole and in order. In a unit of two blocks only
+    members of different sides meet. A unit gives the pairs of each two roots that are nearest by bitmap, `few` at most (0: all);
+    withheld says whether it had more.
     """
-    ids, root, n, side, bits = rows
-    one = side.min() == side.max()
-    x, y = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max()))
-    differ = np.zeros((len(x), len(y)), np.int64)
-    for w in range(bits.shape[1]):
-        differ += np.bitwise_count(bits[x, w][:, None] ^ bits[y, w][None, :])
-    both = n[x][:, None] + n[y][None, :]
-    shared = np.minimum((both - differ) // 2, np.minimum(n[x][:, None], n[y][None, :]))
-    ok = (root[x][:, None] != root[y][None, :]) & (shared >= similarity * (both - shared) - 1e-9)
-    i, j = np.nonzero(np.triu(ok, 1) if one else ok)
-    if not len(i):
+    ids, root, n, side, i, j, unit, bits = rows
+    one, found, x, k = i == j, [], np.arange(len(ids)), 0
+    while True:  # members k apart in the order, of all units at once
+        k += 1
+        x = x[: np.searchsorted(x, len(ids) - k)]
+        x = x[unit[x] == unit[x + k]]
+        if not len(x):
+            break
+        y = x + k
+        ok = (root[x] != root[y]) & (one[x] | (side[x] != side[y])) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+        u, y = x[ok], y[ok]
+        differ = np.bitwise_count(bits[u] ^ bits[y]).sum(1, dtype=np.int64)
+        both = n[u] + n[y]
+        shared = np.minimum((both - differ) // 2, np.minimum(n[u], n[y]))
+        near = shared >= similarity * (both - shared) - 1e-9
+        if near.any():
+            found.append(np.stack([u[near], y[near], differ[near]]))
+    if not found:
         return None
-    d, i, j = differ[i, j], x[i], y[j]
-    swap = (root[i] > root[j]) if best else (ids[i] > ids[j])
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    out = np.stack([ids[i], ids[j], root[i], root[j], d])
-    if best:
-        order = np.lexsort((d, root[j], root[i]))
-        out = out[:, order]
-        out = out[:, np.r_[True, (np.diff(out[2]) != 0) | (np.diff(out[3]) != 0)]]
-    return out
-
-
-def _exact_pairs(sets: DataFrame, roots: DataFrame, similarity: float, best: bool) -> DataFrame:
-    """(a, b): pairs of different roots that share a prefix shingle and whose sizes and bitmaps let them be similar.
-
-    Every similar pair of different roots is among them; with best, one pair of each two roots, the nearest by bitmap.
-    A posting of over UNIT members meets block by block, so that no task gets it whole and no member is left out.
+    u, y, differ = np.concatenate(found, axis=1)
+    swap = root[u] > root[y]
+    u, y = np.where(swap, y, u), np.where(swap, u, y)
+    held = np.zeros(len(u), np.int64)
+    if few:
+        order = np.lexsort((differ, root[y], root[u], unit[u]))
+        u, y = u[order], y[order]
+        start = np.r_[True, (np.diff(unit[u]) != 0) | (np.diff(root[u]) != 0) | (np.diff(root[y]) != 0)]
+        first = np.maximum.accumulate(np.where(start, np.arange(len(u)), 0))
+        place, size = np.arange(len(u)) - first, np.diff(np.r_[np.flatnonzero(start), len(u)])[np.cumsum(start) - 1]
+        keep = place < few
+        u, y, held = u[keep], y[keep], (size > few)[keep].astype(np.int64)
+    return np.stack([np.minimum(ids[u], ids[y]), np.maximum(ids[u], ids[y]), root[u], root[y], held])
+
+
+def _prefix_postings(sets: DataFrame) -> DataFrame:
+    """(key, id): prefix shingles that several sets hold, with them."""
+    rows = sets.select("id", F.explode("prefix").alias("key"))
+    return staged(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "prefixes")
+
+
+def _exact_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, few: int) -> DataFrame:
+    """(a, b, withheld): pairs of different roots that share a prefix shingle and whose sizes and bitmaps let them be similar.
+
+    Every similar pair of different roots is among them; with few, that many of each two roots in a unit, the nearest by bitmap.
+    A posting meets block by block, so that no task gets it whole and no member is left out. Members of the posting's
+    largest root are linked already and never meet each other: once a group is linked, its postings cost their size only.
     """
-    rooted = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    by = Window.partitionBy("key")
-    rows = rooted.select("id", "root", F.explode("prefix").alias("key"))
-    rows = rows.withColumns({"c": F.count("*").over(by), "low": F.min("root").over(by), "high": F.max("root").over(by)}).where("low < high")
-    rows = staged(rows.select("key", "id", "root", "c"), "prefixes")
-    blocks = F.ceil(F.col("c") / UNIT)
-    rows = rows.withColumn("m", blocks).withColumn("side", F.pmod(F.xxhash64("id"), F.col("m")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    unit = F.struct("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    rows = rows.select("id", "root", "side", unit.alias("unit")).join(sets.select("id", "n", "bits"), "id")
-    rows = rows.select("id", "root", "n", "side", "bits", "unit.key", "unit.i", "unit.j").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rooted = postings.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    each = rooted.groupBy("key", "root").agg(F.count("*").alias("r"))
+    open_ = each.groupBy("key").agg(F.count("*").alias("roots"), F.sum("r").alias("c"), F.max(F.struct("r", "root")).alias("top")).where("roots > 1")
+    rows = rooted.join(open_.select("key", "c", F.col("top.r").alias("r"), F.col("top.root").alias("top")), "key")
+    outer, inner = F.ceil((F.col("c") - F.col("r")) / UNIT), F.ceil(F.col("r") / UNIT)
+    dealt = F.xxhash64("id")
+    rows = rows.withColumns({"m": outer, "all": outer + inner, "side": F.when(F.col("root") == F.col("top"), outer + F.pmod(dealt, inner)).otherwise(F.pmod(dealt, outer))})
+    rows = rows.select("key", "id", "root", "side", "m", "all").join(sets.select("id", "n", "bits"), "id")
+    last = F.when(F.col("side") < F.col("m"), F.col("all")).otherwise(F.col("m")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.select("id", "root", "n", "side", "bits", "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-            # a unit of two blocks may hold members of one only: those meet in that block's own unit
-            if len(rows[0]) > 1 and (rows[5][0] == rows[6][0] or rows[3].min() != rows[3].max()):
-                out = _met(rows[:5], similarity, best)
+        held: list[np.ndarray] | None = None
+        for b in chain(sliced(batches, 1 << 16), [None]):
+            if b is not None:
+                cols = [b.column(k).to_numpy() for k in (0, 1, 2, 3, 6, 7, 5)] + [np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
+                held = cols if held is None else [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            if held is None:
+                return
+            starts = np.r_[True, (np.diff(held[6]) != 0) | (np.diff(held[4]) != 0) | (np.diff(held[5]) != 0)]
+            end = int(np.flatnonzero(starts)[-1]) if b is not None else len(starts)  # the last unit may go on
+            if end:
+                out = _met([*(c[:end] for c in held[:6]), np.cumsum(starts)[:end], held[7][:end]], similarity, few)
                 if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "ra", "rb", "d"])
-
-        held, at = [], None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ints = [b.column(k).to_numpy() for k in (0, 1, 2, 3, 5, 6, 7)]
-            bits = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-            unit = np.stack(ints[4:])
-            starts = [0, *(np.flatnonzero((np.diff(unit) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(starts, starts[1:], strict=False):
-                here = tuple(unit[:, lo].tolist())
-                if here != at and held:
-                    yield from flush(held)
-                    held = []
-                at = here
-                held.append([*(c[lo:hi] for c in ints[:4]), bits[lo:hi], ints[5][lo:hi], ints[6][lo:hi]])
-        if held:
-            yield from flush(held)
-
-    met = rows.mapInArrow(run, "a long, b long, ra long, rb long, d long")
-    if best:
-        met = met.groupBy("ra", "rb").agg(F.min(F.struct("d", "a", "b")).alias("x")).select("x.a", "x.b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, key_bytes: int = 3, keys: int = 160, min_matches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep), one row per input row: groups of texts linked by shingle-set Jaccard of `similarity` or more.
-
-    The least id of a group stays. Exact copies are one class first. A pair at Jaccard 0.8 differs in 15 % of simhash
-    bits, at 0.9 in 10 %; over 32 bytes it shares 9 or 13 bytes on average, an unrelated pair 0.1, so pairs with fewer
-    than min_matches, or more differing bits than `_near` allows, are left to the exact rest and the others compared by their
-    whole shingle sets. For over 10^8 distinct texts raise key_bytes to 4 and keys to 600.
-    Postings up to PAIRED_WIDE members give all near pairs that are still apart; a larger one links each member to its least.
-    The keys only save work: every pair at `similarity` that they leave apart is then found by `_exact_pairs`.
-    Texts without words are one group; null ids: see `simhash_components`.
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "ra", "rb", "withheld"])
+                held = [c[end:] for c in held]
+
+    met = rows.mapInArrow(run, "a long, b long, ra long, rb long, withheld long")
+    return met.groupBy("a", "b").agg((F.max("withheld") > 0).alias("withheld"))
+
+
+def text_key(text: Column) -> Column:
+    """The key of a text: equal texts are one class, as are texts whose 64-bit hashes are equal. Null is the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, planes: int = 4, key_bytes: int = 3, keys: int = 24, min_matches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(cls, least, rows, root, component_id, keep), one row per distinct text: groups of texts linked by shingle-set Jaccard of
+    `similarity` or more. cls: `text_key`; least: the least id of the text's rows (nulls last, so null only if all are);
+    rows: their number; root: the group; component_id: its least id; keep: the one text of the group that has it.
+
+    Copies are one class first, then texts with one shingle set. A pair at Jaccard 0.8 differs in 15 % of simhash bits, at
+    0.9 in 10 %; over 32 bytes it shares 9 or 13 bytes on average, an unrelated pair 0.1, so pairs of the byte-position
+    index with fewer than min_matches, or more differing bits than `_near` allows, are left to the exact rest and the others compared
+    by their whole shingle sets. No number of bytes is certain to agree at 0.8, so the index alone can't be whole: every
+    pair at `similarity` that it leaves apart is then found by `_exact_pairs`. For over 10^8 distinct texts raise key_bytes to 4.
+    Texts without words are one group. Ties of the least id (an id with several texts) go to the smaller cls. An empty
+    table gives an empty result; extra columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    norm = F.coalesce("text", F.lit(""))
-    ids = base.select("doc_id", F.xxhash64(norm).alias("h1"), F.md5(norm.cast("binary")).alias("h2"))
-    exact = staged(ids.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "exact")
-    keyed = base.withColumns({"h1": F.xxhash64(norm), "h2": F.md5(norm.cast("binary"))})
-    reps = exact.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    first = staged(keyed.join(reps, "doc_id").where("h1 = k1 and h2 = k2").select("doc_id", "text").dropDuplicates(["doc_id"]), "first")
-    f = staged(fingerprints(first, words, planes, distinct=True), "wide").withColumnRenamed("doc_id", "id")
-    tuples = position_tuples(8 * planes, key_bytes, keys)
-    # the first keys link most of a group; after them all postings only look at pairs that are still apart
-    near = lambda a, b: _near(a, b, planes, similarity, min_matches)
-    shared = _wide_postings(f, tuples[:FIRST_KEYS], 0, 8 * planes)
-    known = staged(shared.join(f.withColumn("root", F.col("id")), "id"), "known")
-    large = known.where(F.col("c") > PAIRED_FIRST)
-    tried = staged(_small_pairs(known, PAIRED_FIRST, near).unionByName(_stars(large, _least(large), near)).distinct(), "candidates")
-    links = [staged(_verified(tried, first, words, similarity), "links")]
-    if tuples[FIRST_KEYS:]:
-        shared = shared.unionByName(_wide_postings(f, tuples[FIRST_KEYS:], FIRST_KEYS, 8 * planes))
-    # the other keys, while a posting is small or its least member is near
-    roots = staged(components(reduce(DataFrame.unionByName, links)), "roots")
-    rooted = staged(f.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    known = staged(shared.join(rooted, "id"), "known")
-    large = known.where(F.col("c") > PAIRED_WIDE)
-    cand = _small_pairs(known, PAIRED_WIDE, near).unionByName(_stars(large, _least(large), near))
-    cand = staged(cand.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-    links.append(staged(_verified(cand, first, words, similarity), "links"))
-    tried = tried.unionByName(cand)
-    # the exact rest: sets that are equal, then one pair of each two groups that may touch, then all pairs still apart
-    sets = staged(_prefixes(first, _common(first, f.count(), words), words, similarity), "sets")
-    equal = sets.select("id", F.min("id").over(Window.partitionBy("whole")).alias("a")).where("id <> a").select("a", F.col("id").alias("b"))
-    links.append(staged(equal, "links"))
-    for best in (True, False):
+    last = F.lit(2**63 - 1)
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("id"))
+    exact = staged(base.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "exact")
+    # a row that repeats an id and its text is there twice: one of them goes on
+    first = staged(base.join(exact.select("id", "doc_id"), ["id", "doc_id"], "left_semi").dropDuplicates(["id", "doc_id"]).select("id", "text"), "first")
+    sets = _shingle_sets(first, _common(first, words), words, similarity, planes)
+    same = sets.groupBy("whole").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("whole", "a")
+    links = [staged(sets.select("id", "whole").join(same, "whole").where("id <> a").select("a", F.col("id").alias("b")), "links")]
+    distinct = sets.join(links[0].select(F.col("b").alias("id")), "id", "left_anti")
+    tried = _index_pairs(distinct.select("id", "f"), planes, key_bytes, keys, lambda a, b: _near(a, b, planes, similarity, min_matches))
+    links.append(_verified(tried, first, words, similarity))
+    # the exact rest: some pairs of each two groups that may touch, then, if those were not all, all pairs still apart
+    postings = _prefix_postings(distinct)
+    for few in (FEW, 0):
         roots = staged(components(reduce(DataFrame.unionByName, links)), "roots")
-        cand = staged(_exact_pairs(sets, roots, similarity, best).join(tried, ["a", "b"], "left_anti"), "candidates")
-        links.append(staged(_verified(cand, first, words, similarity), "links"))
-        tried = tried.unionByName(cand)
+        cand = staged(_exact_pairs(postings, sets, roots, similarity, few).join(tried, ["a", "b"], "left_anti"), "candidates")
+        links.append(_verified(cand.select("a", "b"), first, words, similarity))
+        tried = tried.unionByName(cand.select("a", "b"))
+        if cand.where("withheld").isEmpty():
+            break
     roots = components(reduce(DataFrame.unionByName, links))
-    out = ids.join(exact, ["h1", "h2"]).select("doc_id", "rep")
-    out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", (F.col("doc_id").eqNullSafe(F.coalesce("root", "rep"))).alias("keep"), F.coalesce("root", "rep").alias("component_id"))
+    out = staged(exact.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("cls"), F.col("doc_id").alias("least"), "rows", F.coalesce("root", "id").alias("root")), "classes")
+    names = out.groupBy("root").agg(F.min(F.struct("least", "cls")).alias("x"))
+    known = lambda c: F.when(c != last, c)
+    out = out.join(names, "root").select("cls", known(F.col("least")).alias("least"), "rows", "root", known(F.col("x.least")).alias("component_id"), (F.col("cls") == F.col("x.cls")).alias("keep"))
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(doc_id, component_id, keep), one row per input row; keep: the row has its group's least id and the text that is kept.
+
+    Rows that repeat both are equal here and all keep; see `near_classes` for the rest and for its parameters.
+    """
+    classes = staged(near_classes(docs, id_col=id_col, text_col=text_col, **how).select("cls", "component_id", F.col("keep").alias("_keep")), "near")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("cls")).join(classes, "cls")
+    return rows.select("doc_id", "component_id", (F.col("_keep") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"))

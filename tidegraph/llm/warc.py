@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import small_batches, staged
+from tidegraph.llm.common import sliced, staged
 
 #: Uncompressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 4 << 20
@@ -135,7 +135,6 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "
     and, where another id has its payload, is a revisit; a null url is left out. Rows that repeat the smallest id are all
     responses. Extra columns are not read; an empty table gives no archive.
     """
-    small_batches(pages.sparkSession, 64)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("key", F.concat_ws(":", F.sha1("payload"), F.octet_length("payload").cast("string")))
     groups = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("key").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1")
@@ -146,7 +145,7 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, records, size = [], 0, 0
         pack = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary()), pa.array([records], pa.int64())], ["archive", "records"])
-        for b in batches:
+        for b in sliced(batches, 64):
             for page, url, payload, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 members.append(write_record(page, url, payload, refers))
                 records, size = records + 1, size + len(payload)
@@ -165,7 +164,6 @@ def read_archives(archives: DataFrame, archive_col: str = "archive", with_payloa
     Digests and lengths are of the full payload, also for revisits, whose payload column is null. A broken archive
     raises: the job fails rather than lose records.
     """
-    small_batches(archives.sparkSession, 4)
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 

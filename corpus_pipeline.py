@@ -18,33 +18,48 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier rejects go. Labels come from the labels table, held-out ids excepted."""
+    """Rows whose text the line classifier rejects go. Labels come from the labels table, held-out ids excepted.
+
+    Each row is judged by its own text: null and empty texts get the score of no good line, repeated rows and ids share
+    nothing, a null id is kept or not like any other, an empty table gives an empty one.
+    """
     model = quality.fit_quality_model(docs, load(spark, sf_dir, "labels"))
-    kept = quality.score_quality(docs, model).where("predicted = 1")
-    return _semi(docs, kept)
+    scored = quality.score_quality(docs, model, carry=("lang", "source", "n_chars"))
+    return scored.where("predicted = 1").select("doc_id", "text", "row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language the model can't tell, go."""
-    pred = langid.predict_languages(docs, langid.fit_language_model(docs))
-    return _semi(docs, pred.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    """Rows without a letter, or whose language the model can't tell, go; each is judged by its own text, as above.
+
+    If no row has a language to learn from, the model tells none and all rows go.
+    """
+    pred = langid.predict_languages(docs, langid.fit_language_model(docs), carry=("lang", "source", "n_chars"))
+    return pred.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc_id", "text", "row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of copies, exact or near (five words, 0.8), the document with the least id stays."""
-    return _semi(docs, simhash.near_duplicates(docs, words=5, similarity=0.8).where("keep"))
+    """Of each group of copies, exact or near (five words, 0.8), one row stays: that of the least id, nulls last.
+
+    Null and empty texts, and all others without words, are one group. Of rows that share that id and text one stays, the
+    least by its other columns.
+    """
+    classes = simhash.near_classes(docs, words=5, similarity=0.8)
+    kept = staged(classes.where("keep").select(F.col("cls").alias("_cls"), F.col("least").alias("_least"), F.col("rows").alias("_rows")), "kept")
+    rows = docs.select(*COLUMNS, simhash.text_key(F.col("text")).alias("_cls")).join(kept, "_cls").where(F.col("doc_id").eqNullSafe(F.col("_least")))
+    alone = rows.where("_rows = 1").select(*COLUMNS)
+    least = F.min(F.struct("lang", "source", "n_chars", "text"))  # texts of a class are equal
+    several = rows.where("_rows > 1").groupBy("_cls", "doc_id").agg(least.alias("x")).select("doc_id", "x.*").select(*COLUMNS)
+    return alone.unionByName(several)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and a second row for those that the mix draws whole a second time.
+    """Sources share 150 % of all words by weights 3, 1, 2, up to two passes of each: rows go, stay or come twice.
 
-    Sources share 150 % of all words by weights 3, 1, 2, between one and two passes of each.
+    A source whose target is below its size loses rows, one above it repeats some; rows without words go. See
+    `mixing.mixed_rows` for repeated rows.
     """
-    mix = mixing.mix_sources(docs, weights=(3, 1, 2), share=1.5, max_passes=2, min_passes=1)
-    again = mix.where(F.exists("draws", lambda d: (d["pass"] == 1) & (d["words"] > 0) & (d["words"] == F.col("size"))))
-    twice = again.select(F.col("doc_id").alias("_id")).distinct()
-    marked = docs.select(*COLUMNS).join(twice, F.col("doc_id") == F.col("_id"), "left")
-    return marked.select(*COLUMNS, F.explode(F.when(F.col("_id").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("_pass")).drop("_pass")
+    mix = staged(mixing.mix_sources(docs, weights=(3, 1, 2), share=1.5, max_passes=2), "mix")
+    return mixing.mixed_rows(docs.select(*COLUMNS), mix).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +67,6 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piecewise.encode_digests(docs, tokenizer_file())
 
 
-def _semi(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is kept, columns of documents only."""
-    ids = kept.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-
-
 STAGES = [
     ("quality classifier", quality_stage),
     ("language ID", language_stage),

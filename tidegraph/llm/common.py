@@ -46,7 +46,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         _made.add(root)
         atexit.register(_remove, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

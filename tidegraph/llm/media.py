@@ -41,7 +41,7 @@ def _header(data: bytes, count: int) -> tuple[list[int], int]:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 with samples of up to 8 bits, as (height, width) or (height, width, 3); bitmaps have 0 for black."""
+    """P1 to P6 with samples of up to 8 bits, scaled to 0 to 255, as (height, width) or (height, width, 3); bitmaps have 0 for black."""
     kind = data[1] - 48
     (width, height, *most), at = _header(data, 2 if kind in (1, 4) else 3)
     if width < 1 or height < 1 or most and not 0 < most[0] < 256:
@@ -54,13 +54,16 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         return (1 - np.unpackbits(raw, axis=1)[:, :width]) * np.uint8(255)
     if kind in (5, 6):
         flat = np.frombuffer(data, np.uint8, need, at)
+    elif kind == 1:
+        flat = (1 - np.array([c - 48 for c in data[at - 1 :] if c in b"01"][:need], np.uint8)) * np.uint8(255)
     else:
-        body = data[at - 1 :]
-        flat = np.array([c - 48 for c in body if c in b"01"][:need] if kind == 1 else body.split()[:need], np.uint8)
-        if kind == 1:
-            flat = (1 - flat) * np.uint8(255)
+        flat = np.array([int(x) for x in data[at - 1 :].split()[:need]], np.int64)
     if len(flat) < need:
         raise ValueError("Netpbm samples missing")
+    if most and len(flat) and int(flat.max()) > most[0]:
+        raise ValueError("a Netpbm sample is over its greatest value")
+    if most and (most[0] < 255 or flat.dtype != np.uint8):
+        flat = ((flat.astype(np.int64) * 255 + most[0] // 2) // most[0]).astype(np.uint8)
     return flat.reshape((height, width, 3) if depth == 3 else (height, width))
 
 
@@ -70,6 +73,9 @@ def decode_bmp(data: bytes) -> np.ndarray:
     up, height = height > 0, abs(height)
     if packed not in (0, 3) or bits not in (8, 24, 32) or width < 1 or height < 1:
         raise ValueError("unsupported BMP")
+    # bit fields are read where they are those of plain 32-bit pixels
+    if packed == 3 and (bits != 32 or struct.unpack_from("<III", data, 54) != (0xFF0000, 0xFF00, 0xFF)):
+        raise ValueError("unsupported BMP bit fields")
     row = (width * bits // 8 + 3) // 4 * 4
     raw = np.frombuffer(data, np.uint8, row * height, offset).reshape(height, row)[:, : width * bits // 8].reshape(height, width, bits // 8)
     if bits == 8:
@@ -159,7 +165,7 @@ def media_features(media: DataFrame, key_cols: list[str], media_col: str = "medi
                     image = decode_image(x.as_py() or b"")
                     tile = area_resize(image, *TILE)
                     out.append((*image.shape[:2], f"{difference_hash(tile):016x}", npy_tile(tile), None))
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OverflowError, struct.error) as e:
                     out.append((None, None, None, None, str(e)[:200]))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string())
@@ -183,10 +189,11 @@ def payload_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def media_digests(images: DataFrame) -> DataFrame:
-    """Reads stored media back: (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature) of images (doc_id, n_bytes, media). feature: the difference hash, then the NPY tile's CRC-32."""
+    """Decodes stored media: (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, tile)
+    of images (doc_id, n_bytes, media), one row per input row; tile: NPY bytes of the area-resized image. Repeated rows
+    repeat, an empty table gives an empty result, extra columns are not read; broken media raise: they are our own."""
     kind = images.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 64):
@@ -196,9 +203,22 @@ def media_digests(images: DataFrame) -> DataFrame:
                 image = decode_image(data)
                 payload = image.tobytes()
                 tile = area_resize(image, *TILE)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(tile):016x}-{zlib.crc32(npy_tile(tile)):08x}"))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), npy_tile(tile)))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    return images.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return images.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary")
+
+
+def tile_features(tiles: DataFrame) -> DataFrame:
+    """Reads stored NPY tiles back: the columns of tiles but tile, and feature: the difference hash and the tile's CRC-32."""
+    rest = [c for c in tiles.columns if c != "tile"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(len(rest)).to_pylist()
+            found = [f"{difference_hash(np.load(io.BytesIO(x), allow_pickle=False)):016x}-{zlib.crc32(x):08x}" for x in raw]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string())], [*rest, "feature"])
+
+    return tiles.select(*rest, "tile").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema if f.name != "tile") + ", feature string")

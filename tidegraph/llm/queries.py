@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import chat, langid, licenses, media, mixing, piecewise, quality, simhash, topk, warc
-from tidegraph.llm.common import load
+from tidegraph.llm.common import load, staged
 
 MODEL = "piece_bpe_32k.model"
 
@@ -46,7 +46,9 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(media.payload_images(load(spark, sf_dir, "documents")))
+    """Media are stored as a table and read back, and so are their NPY tiles."""
+    stored = staged(media.payload_images(load(spark, sf_dir, "documents")), "media")
+    return media.tile_features(staged(media.media_digests(stored), "tiles"))
 
 
 def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +80,81 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's columns that SQL can state too: sizes, and the targets, in thousandths of a word."""
+    return op1_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round(F.col("target") * 1000).cast("long").alias("target_milli"))
+
+
+def media_payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's columns of the payload that SQL can state too."""
+    return op5_media_payloads(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's columns of its base, which SQL can state too."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_simhash_components, op3_piece_codec, op4_chat_format, op5_media_payloads, op6_warc_roundtrip, op7_license_scan, op8_exact_topk, op9_language_id, op10_line_quality, pipeline)
+    f.__name__: f for f in (op1_mix_sources, op2_simhash_components, op3_piece_codec, op4_chat_format, op5_media_payloads, op6_warc_roundtrip, op7_license_scan, op8_exact_topk, op9_language_id, op10_line_quality, pipeline, mix_targets, media_payload_columns, license_base_columns)
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL, over whole tables. What a fitted model, XXH64 or a tokenizer decides is held against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op4_chat_format": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), sized AS (
+            SELECT *, list_sum(list_transform([role, text], lambda x: length(x) + length(x) - length(replace(x, '␛', ''))
+                + 2 * len(list_filter(range(1, length(x) + 1), lambda i: regexp_matches(substr(x, i, 12), '(?i)^[<\[](\||/?s>|/?INST\]|<?/?SYS>>|/?(image|audio|document):)')))))
+                + 8 + 8 + 7 AS chars
+            FROM rows
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id""",
+    "op6_warc_roundtrip": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS payload_bytes, CAST(CAST(unhex(sha1(payload)) AS BIT) AS VARCHAR) AS bits, min(page_id) OVER (PARTITION BY payload) AS least FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+            list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+                + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+                + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+        FROM d""",
+    "op8_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "mix_targets": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+        w AS (SELECT *, [3.0, 1.0, 2.0][nth % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
+        -- the level at which sources up to one, in order of most / weight, are full and the others share the rest by weight
+        l AS (SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY most / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY most / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        f AS (SELECT min_by(level, (most / weight, nth)) AS level FROM l WHERE level <= most / weight)
+        SELECT doc_id, size, source_size, CAST(round(1000 * least(most, coalesce(f.level * weight, most))) AS BIGINT) AS target_milli
+        FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source CROSS JOIN f""",
+    "media_payload_columns": r"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+        p AS (SELECT doc_id, octet_length(raw) AS n, greatest(1, (octet_length(raw) + 575) // 576) * 576 AS size, raw FROM d)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(size AS BIGINT) AS payload_bytes, sha256(raw || repeat('\xFF'::BLOB, size - n)) AS payload_sha256 FROM p""",
+    "license_base_columns": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        m AS (SELECT doc_id, words, list_filter(range(1, len(words) + 1), lambda i: words[i] = 'cc' AND words[i + 1] = 'by') AS cc,
+            list_filter(range(1, len(words) + 1), lambda i: words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license') AS gpl,
+            list_filter(range(1, len(words) + 1), lambda i: words[i] = 'all' AND words[i + 1] = 'rights' AND words[i + 2] = 'reserved') AS res FROM w)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(cc) + len(gpl) + len(res) AS BIGINT) AS n_base,
+            CAST(list_min(cc || gpl || res) - 1 AS BIGINT) AS first_word, CAST(list_max(cc || gpl || res) - 1 AS BIGINT) AS last_word,
+            concat_ws(',', CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END) AS base_labels
+        FROM m""",
+}

@@ -15,10 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.llm.common import staged
+
 #: Least significant slices that are left to the exact step.
 DROPPED = 2
-#: Components beyond this take no part: their products need not fit a long.
-LARGEST = 1 << 27
+#: Components of this size and more are left to wider integers, so that sums of products of the others fit 64 bits.
+WIDE = 1 << 26
+#: Dimensions beyond which all components are.
+MOST_DIMS = 1 << 10
 
 
 class BitSlices:
@@ -75,9 +79,8 @@ class BitSlices:
         return out
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but those whose id is own: higher score first, then smaller id."""
-        at = slice(np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, "right"))
-        live = self.all & ~self.bitmap(np.arange(at.start, at.stop))
+        """(ids, scores) of the k best rows but row number own (-1: none): higher score first, then smaller id."""
+        live = self.all if own < 0 else self.all & ~self.bitmap(np.array([own]))
         count = int(np.bitwise_count(live).sum())
         if count > k and np.any(query):
             total = self.add(query)
@@ -105,40 +108,84 @@ class BitSlices:
         return self.ids[rows[best]], scores[best]
 
 
+class Block:
+    """Rows of a block: bit slices of those with moderate components, wider integers for the rest."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.values = ids[order], values[order]  # whole numbers as doubles, exact at any size
+        wide = self.wide_rows(self.values)
+        self.plain, self.wide = np.flatnonzero(~wide), np.flatnonzero(wide)
+        self.slices = BitSlices(self.ids[self.plain], self.values[self.plain].astype(np.int64))
+
+    @staticmethod
+    def wide_rows(values: np.ndarray) -> np.ndarray:
+        return (np.abs(values) >= WIDE).any(1) if values.shape[1] <= MOST_DIMS else np.ones(len(values), bool)
+
+    def own(self, query_id: int, query: np.ndarray) -> int:
+        """The number of a row with the query's id and vector, -1 if another block has it."""
+        lo, hi = np.searchsorted(self.ids, query_id), np.searchsorted(self.ids, query_id, "right")
+        same = np.flatnonzero((self.values[lo:hi] == query).all(1))
+        return int(lo + same[0]) if len(same) else -1
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(id, score) of the k best rows but the query's own. A score beyond 64 bits is whole here."""
+        own, found, rest = self.own(query_id, query), [], self.wide
+        if self.wide_rows(query[None])[0]:
+            rest = np.arange(len(self.ids))
+        elif len(self.plain):
+            at = int(np.searchsorted(self.plain, own)) if own >= 0 else 0
+            at = at if own >= 0 and at < len(self.plain) and self.plain[at] == own else -1
+            ids, scores = self.slices.top(query.astype(np.int64), at, k)
+            found = list(zip(ids.tolist(), scores.tolist(), strict=True))
+        q = [int(x) for x in query] if len(rest) else []
+        found += [(int(self.ids[r]), sum(int(x) * y for x, y in zip(self.values[r], q, strict=True))) for r in rest.tolist() if r != own]
+        return sorted(found, key=lambda x: (-x[1], x[0]))[:k]
+
+
 def quantised(vector: Column, scale: float = 256.0) -> Column:
-    """floor(scale * x) of every component, or null for a vector that takes no part."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) * scale < LARGEST))
-    return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    """floor(scale * x) of every component, whole numbers as doubles, or null for a vector that takes no part."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    # F.floor gives a long, which large ones leave; a double less its remainder by one is exact
+    whole = lambda y: y - F.pmod(y, F.lit(1.0)) + F.lit(0.0)
+    return F.when(F.coalesce(fine, F.lit(False)), F.transform(vector, lambda x: whole(x.cast("double") * scale)))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, block_rows: int = 8192, query_rows: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, block_rows: int = 8192, query_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that is_query holds for, the k best rows by integer inner product.
 
-    Candidates are all rows but those with the query's id; ties go to the smaller id; fewer candidates give fewer rows.
-    Vectors that are null, or hold a null, non-finite or enormous component, or have no id take no part; queries meet
-    candidates of their own length. An id that repeats is one query (its least vector) and several candidates. An empty
-    table gives an empty result; extra columns are not read. is_query is over vec_id. Queries go in blocks against
-    blocks of rows: no task holds more than a block of each.
+    Candidates are all rows but the query's own; ties go to the smaller id; fewer candidates give fewer rows. Vectors that
+    are null, or hold a null or non-finite component, or have no id take no part; queries meet candidates of their own
+    length. Components of any finite size are exact; a score among the best that leaves 64 bits raises. Each row of an
+    id that repeats is a query and a candidate of its own: equal rows give equal results, once each. An empty table gives an
+    empty result; extra columns are not read. is_query is over vec_id. Queries go in blocks against blocks of rows: a task
+    holds a block of each, and a block's index serves all queries of a block of queries.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
-    rows = rows.withColumn("dims", F.size("v"))
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, asked = rows.count(), rows.where(is_query).count()
+    # of rows that are equal in all, k + 1 are enough as candidates: the best k of them but one
+    rows = rows.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+    rows = staged(rows.select("vec_id", "v", "copies", F.size("v").alias("dims"), is_query.alias("asked")), "vectors")
+    n, asked = rows.count(), rows.where("asked").count()
     blocks, groups = max(1, math.ceil(n / block_rows)), max(1, math.ceil(asked / query_rows))
-    index = rows.select("*", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    wanted = queries.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(groups)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    index = rows.select("vec_id", "v", "dims", F.least("copies", F.lit(k + 1)).cast("int").alias("times"), F.pmod(F.xxhash64("vec_id", "v", F.lit(7)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    # every column has a name of its own: both sides come of one table, and a cogroup mixes up equal ones
+    queries = rows.where("asked").select(F.col("vec_id").alias("query"), F.col("v").alias("q"), F.col("copies").alias("of"), F.col("dims").alias("q_dims"), F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(groups)).cast("int").alias("q_part"))
+    wanted = queries.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(rows) and len(asked):
-            rows = rows.sort_values("vec_id", kind="stable")
-            slices = BitSlices(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_list()).astype(np.int64))
-            for q, v in zip(asked["vec_id"], asked["v"], strict=True):
-                ids, scores = slices.top(np.asarray(v, np.int64), q, k)
-                out += [(q, i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    keys = ["dims", "block", "part"]
-    near = index.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            times = rows["times"].to_numpy()
+            block = Block(np.repeat(rows["vec_id"].to_numpy(), times), np.repeat(np.stack(rows["v"].to_list()), times, axis=0))
+            for q, v, copies in zip(asked["query"], asked["q"], asked["of"], strict=True):
+                v = np.asarray(v, float)
+                out += [(q, copies, v.tobytes(), i, str(s)) for i, s in block.top(q, v, k)]
+        return pd.DataFrame(out, columns=["query_id", "copies", "q", "vec_id", "score"]).astype({"query_id": "int64", "copies": "int64", "vec_id": "int64"})
+
+    near = index.groupBy("dims", "block", "part").cogroup(wanted.groupBy("q_dims", "q_block", "q_part")).applyInPandas(search, "query_id long, copies long, q binary, vec_id long, score string")
+    # whole scores travel as text: 38 digits hold any but an absurd one, and the cast back to a long raises where it must
+    near = near.withColumn("score", F.col("score").cast("decimal(38,0)"))
+    order = Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), "vec_id")
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = best.withColumn("score", F.coalesce(F.col("score").try_cast("long"), F.raise_error(F.lit("a score does not fit 64 bits")).cast("long")))
+    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", "score")

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,18 +52,18 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to
 class Feed:
     """Bytes of an archive in order, inflated a little at a time, members end to end; plain archives pass through."""
 
-    def __init__(self, data: bytes):
-        self.data, self.at, self.out = memoryview(data), 0, bytearray()
-        self.gz = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
+    def __init__(self, source: bytes | BinaryIO):
+        self.file = io.BytesIO(source) if isinstance(source, bytes) else source
+        self.left, self.out = self.file.read(_INFLATE), bytearray()
+        self.gz = zlib.decompressobj(31) if self.left[:2] == b"\x1f\x8b" else None
 
     def more(self) -> bool:
         """Inflates a further piece; False at the end. Raises on a member that is cut off."""
-        if self.at >= len(self.data):
+        piece, self.left = self.left or self.file.read(_INFLATE), b""
+        if not piece:
             if self.gz is not None and not self.gz.eof:
                 raise ValueError("the archive ends inside a member")
             return False
-        piece = self.data[self.at : self.at + _INFLATE]
-        self.at += len(piece)
         if self.gz is None:
             self.out += piece
             return True
@@ -69,7 +71,7 @@ class Feed:
             self.gz = zlib.decompressobj(31)
         self.out += self.gz.decompress(piece)
         if self.gz.eof:
-            self.at -= len(self.gz.unused_data)
+            self.left = self.gz.unused_data
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -94,32 +96,67 @@ class Feed:
         return got
 
 
+_DIGESTS = {"sha1": 20, "md5": 16, "sha256": 32, "sha512": 64}
+
+
+def digest_agrees(stated: str, data: bytes) -> bool:
+    """Whether a labelled digest (sha1, md5, sha256 or sha512; base32 or hex) is data's. Unknown labels can't be verified."""
+    label, _, value = stated.strip().partition(":")
+    label = label.lower().replace("-", "")
+    if label not in _DIGESTS:
+        return True
+    raw = hashlib.new(label, data).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The body without HTTP's chunk lengths; the body itself if it isn't chunked throughout."""
+    out, at = [], 0
+    while True:
+        line, _, _ = body[at : at + 64].partition(_CRLF)
+        size = line.partition(b";")[0].strip()
+        if not size or size.strip(b"0123456789abcdefABCDEF"):
+            return body
+        at += len(line) + 2
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[at : at + n])
+        at += n + 2
+
+
 def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
-def read_records(data: bytes) -> Iterator[dict]:
-    """Records of an archive in order: headers, type, payload (None in a revisit) and payload size; digests verified."""
-    feed = Feed(data)
+def read_records(source: bytes | BinaryIO) -> Iterator[dict]:
+    """Records of an archive in order: headers, type, payload (None in a revisit) and payload size; digests verified.
+
+    An open file is read a piece at a time, so an archive of any size needs the memory of its largest record.
+    """
+    feed = Feed(source)
     while (head := feed.until(_CRLF + _CRLF)) is not None:
         if not head.lstrip().startswith(b"WARC/"):
             raise ValueError("no WARC record where one should start")
         f = _fields(head.lstrip())
+        if not f.get("content-length", "").isdigit():
+            raise ValueError("a record has no length")
         block = feed.take(int(f["content-length"]))
         if feed.take(4) != _CRLF + _CRLF:
             raise ValueError("a record's block has another length than it says")
-        if "warc-block-digest" in f and f["warc-block-digest"].partition(":")[2] != sha1_base32(block):
+        if not digest_agrees(f.get("warc-block-digest", ""), block):
             raise ValueError("block digest differs")
         payload, size = block, len(block)
         if f.get("content-type", "").startswith("application/http"):
             http, _, payload = block.partition(_CRLF + _CRLF)
-            size = int(_fields(http).get("content-length", len(payload)))
-        digest = f.get("warc-payload-digest", "").partition(":")[2] or sha1_base32(payload)
-        if f["warc-type"] == "revisit":
+            said = _fields(http).get("content-length", "")
+            size = int(said) if f.get("warc-type") == "revisit" and said.isdigit() else len(payload)
+        stated = f.get("warc-payload-digest", "")
+        if f.get("warc-type") == "revisit":
             payload = None
-        elif digest != sha1_base32(payload) or size != len(payload):
-            raise ValueError("payload digest or length differs")
-        yield {"fields": f, "type": f["warc-type"], "payload": payload, "size": size, "digest": digest}
+        elif not (digest_agrees(stated, payload) or digest_agrees(stated, _unchunked(payload))):  # writers differ on chunked bodies
+            raise ValueError("payload digest differs")
+        yield {"fields": f, "type": f.get("warc-type", ""), "payload": payload, "size": size, "digest": stated.partition(":")[2] or sha1_base32(payload or b"")}
 
 
 def _id(urn: str | None) -> int | None:
@@ -182,5 +219,6 @@ def read_archives(archives: DataFrame, archive_col: str = "archive", with_payloa
 
 
 def warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """(archive): the bytes of .warc and .warc.gz files on any file system that Spark reads."""
+    """(archive): the bytes of .warc and .warc.gz files on any file system that Spark reads, each below 2 GB (Spark's limit for a
+    value); `read_records` streams larger ones from an open file."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("content").alias("archive"))

@@ -12,8 +12,8 @@ def one(spark, **cols):
 
 
 def test_names(spark):
-    got = one(spark, a=X.canonical_name(F.lit("L'Oréal  S.A. & Co-op!")), b=X.strip_legal(F.lit("acme holdings inc")), c=X.strip_legal(F.lit("group")), d=X.slug(F.lit(" A b/C ")))
-    assert got == {"a": "loréal s a & co-op", "b": "acme", "c": "group", "d": "a-b-c"}
+    got = one(spark, a=X.canonical_name(F.lit("L'Oréal  S.A. & Co-op!")), b=X.strip_legal(F.lit("acme holdings inc")), c=X.strip_legal(F.lit("Acme, Inc. Co., Ltd.")), d=X.slug(F.lit(" A b/C ")))
+    assert got == {"a": "loréal s a & co-op", "b": "acme", "c": "Acme", "d": "a-b-c"}
 
 
 def test_dates(spark):
@@ -30,6 +30,7 @@ def test_pack():
     got = nlp.pack_sentences("One two three. Four five six. Seven eight nine.", 8, 4)
     assert got == ["One two three. Four five six.", "Four five six. Seven eight nine."]
     assert nlp.pack_sentences("a " * 50 + ". b.", 8, 4)[0].startswith("a a")
+    assert nlp.pack_sentences("One two three. " + "x " * 9 + ".", 8, 4)[1].startswith("One two three. x")  # the overlap stays over the target
 
 
 def test_enums_and_json():

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 from tidegraph.operators import nlp
 
@@ -9,7 +10,7 @@ from tidegraph.operators import nlp
 def brute(rows, words=5, similarity=0.86):
     kept = []
     for i, text, day in sorted(rows, key=lambda r: (r[2], r[0])):
-        w = text.lower().split()
+        w = re.findall(r"[a-z0-9$_.-]+", text.lower())
         s = {tuple(w[k : k + words]) for k in range(max(len(w) - words, 0) + 1)} if w else set()
         if not any(s and t and len(s & t) >= similarity * len(s | t) for _, t in kept):
             kept.append((i, s))

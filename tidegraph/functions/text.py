@@ -8,7 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Legal suffixes that are cut from company names.
-LEGAL_SUFFIXES = ("inc", "corp", "corporation", "company", "co", "ltd", "plc", "llc", "group", "holdings")
+LEGAL_SUFFIXES = (
+    "incorporated", "corporation", "international", "holdings", "technologies", "technology", "solutions", "pharmaceuticals", "financial",
+    "services", "group", "limited", "enterprises", "partners", "associates", "inc", "corp", "ltd", "llc", "llp", "plc", "co", "sa", "ag",
+    "nv", "bv", "se",
+)
+#: What navigation pages are full of.
+NAVIGATION_MARKERS = (
+    "skip to content", "home", "news", "sport", "business", "technology", "health", "culture", "travel", "audio", "video", "live", "weather",
+    "newsletters", "share", "save",
+)
+#: White space at a text's ends.
+ENDS = r"^\s+|\s+$"
 
 
 def words(text: Column) -> Column:
@@ -32,9 +43,12 @@ def canonical_name(name: Column) -> Column:
 
 
 def strip_legal(name: Column, suffixes: Sequence[str] = LEGAL_SUFFIXES) -> Column:
-    """Cuts legal suffixes off a canonical name until none is left; a name of suffixes alone stays."""
-    cut = F.trim(F.regexp_replace(name, rf"( ({'|'.join(suffixes)}))+$", ""))
-    return F.when(cut == "", name).otherwise(cut)
+    """Cuts legal suffixes, in any case and with the commas, points and spaces round them, off a name until none is left.
+
+    A name of suffixes alone becomes empty.
+    """
+    cut = F.regexp_replace(name, rf"(?i)([\s,.]*\b({'|'.join(suffixes)})\b[\s.,]*)+$", "")
+    return F.regexp_replace(cut, r"^\s+|[\s.,]+$", "")
 
 
 def slug(value: Column) -> Column:
@@ -68,8 +82,8 @@ def excerpt(text: Column, most: int = 400) -> Column:
 
 
 def content_hash(text: Column) -> Column:
-    """The exact-dedup key: 16 hex digits of the trimmed text's SHA-256."""
-    return F.substring(F.sha2(F.trim(text).cast("binary"), 256), 1, 16)
+    """The exact-dedup key: 16 hex digits of the SHA-256 of the text without white space at its ends."""
+    return F.substring(F.sha2(F.regexp_replace(text, ENDS, "").cast("binary"), 256), 1, 16)
 
 
 def scraped_hash(text: Column) -> Column:
@@ -86,11 +100,11 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " "))
 
 
-def is_boilerplate(text: Column, url: Column, markers: Sequence[str] = ("subscribe", "sign in", "cookie", "newsletter"), least_words: int = 80) -> Column:
-    """Too short, too many navigation markers, too few distinct words, or a video page."""
-    low = F.lower(text)
-    n = word_count(text)
-    marks = sum(((F.char_length(low) - F.char_length(F.replace(low, F.lit(m), F.lit("")))) / len(m) for m in markers), F.lit(0.0))
+def is_boilerplate(text: Column, url: Column, markers: Sequence[str] = NAVIGATION_MARKERS, least_words: int = 80) -> Column:
+    """Too short, too many navigation markers, too few distinct words, or a video page. A null text is boilerplate."""
+    low = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    n = word_count(low)
+    marks = sum((F.regexp_count(low, F.lit(m)) for m in markers), F.lit(0))
     distinct = F.size(F.array_distinct(words(low))) / F.greatest(n, F.lit(1))
     return (n < least_words) | (marks / F.greatest(n, F.lit(1)) > 0.08) | (distinct < 0.35) | F.coalesce(F.contains(F.lower(url), F.lit("/videos/")), F.lit(False))
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.functions import text as X
 from tidegraph.operators.core import greedy_keep
 
 _SPLIT = re.compile(r"(?<=[.!?])\s+")
@@ -18,25 +19,23 @@ _SPLIT = re.compile(r"(?<=[.!?])\s+")
 
 def pack_sentences(text: str | None, target: int = 400, overlap: int = 50) -> list[str]:
     """Sentences packed to at most `target` approximate tokens (words / 0.75), trailing ones of at most `overlap` tokens
-    in all carried into the next chunk; a longer sentence is a chunk of its own."""
+    in all carried into the next chunk, even where they and the next sentence go over the target."""
     out: list[str] = []
     held: list[tuple[str, int]] = []
-    fresh = False
     for s in (x.strip() for x in _SPLIT.split(text or "")):
         if not s:
             continue
         n = int(len(s.split()) / 0.75)
-        if held and fresh and sum(k for _, k in held) + n > target:
+        if held and sum(k for _, k in held) + n > target:
             out.append(" ".join(x for x, _ in held))
             tail: list[tuple[str, int]] = []
             for x in reversed(held):
                 if sum(k for _, k in tail) + x[1] > overlap:
                     break
                 tail.insert(0, x)
-            held = tail if sum(k for _, k in tail) + n <= target else []
+            held = tail
         held.append((s, n))
-        fresh = True
-    if held and fresh:
+    if held:
         out.append(" ".join(x for x, _ in held))
     return out
 
@@ -60,12 +59,10 @@ def near_dup_keep(articles: DataFrame, id_col: str, text_col: str, date_col: str
     4 minima of hashed shingles; all members of a band's bucket are paired, and pairs are verified by exact Jaccard.
     """
     spark = articles.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        from tempfile import mkdtemp
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp())
+    if not spark.sparkContext.getCheckpointDir():  # the cluster's shared folder, else one that all its machines see
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     order = articles.select(F.col(id_col).alias("id"), F.struct(date_col, id_col).alias("rank"))
-    w = F.filter(F.split(F.lower(F.trim(text_col)), r"\s+"), lambda x: x != "")
+    w = X.dedup_tokens(F.col(text_col))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, words), " "))))
     base = articles.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w") > 0).select("id", F.array_sort(grams).alias("g")).checkpoint()
     oldest = base.join(order, "id").groupBy("g").agg(F.min(F.struct("rank", "id")).alias("x"))

@@ -79,10 +79,10 @@ def latest_events_floor(t):
 
 
 @query("""select o_orderkey as event_id, count(l_orderkey) as children, coalesce(string_agg(cast(l_suppkey as varchar), ',' order by l_linenumber, l_suppkey), '') as suppliers
-  from orders left join lineitem on o_orderkey = l_orderkey where o_orderkey <= 500 group by o_orderkey""")
+  from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey""")
 def event_evidence_nested(t):
-    kids = t.lineitem.where("l_orderkey <= 500").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("k"))
-    e = t.orders.where("o_orderkey <= 500").join(kids, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    kids = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("k"))
+    e = t.orders.join(kids, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return e.select(F.col("o_orderkey").alias("event_id"), F.coalesce(F.size("k"), F.lit(0)).cast("long").alias("children"), F.coalesce(F.array_join(F.transform("k", lambda x: x["l_suppkey"].cast("string")), ","), F.lit("")).alias("suppliers"))
 
 
@@ -184,17 +184,18 @@ def insert_or_ignore(t):
     return C.insert_or_ignore(have, rows, "k", [F.col("n"), F.col("v")]).select("k", "v")
 
 
+BARE = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 WORDS = r"len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))"
 
 
-@query(rf"""select doc_id, substr(sha256(trim(text)), 1, 16) as content_hash, strftime(published, '%Y-%m') as period_key from (
-  select *, row_number() over (partition by sha256(trim(text)) order by doc_id) as rn from {ART} where {WORDS} >= 80) where rn = 1""")
+@query(rf"""select doc_id, substr(sha256({BARE}), 1, 16) as content_hash, strftime(published, '%Y-%m') as period_key from (
+  select *, row_number() over (partition by sha256({BARE}) order by doc_id) as rn from {ART} where {WORDS} >= 80) where rn = 1""")
 def quality_gate(t):
     a = t.articles.where(X.word_count(F.col("text")) >= 80).withColumn("content_hash", X.content_hash(F.col("text")))
     return C.top_per_key(a, ["content_hash"], [F.col("doc_id")]).select("doc_id", "content_hash", D.period_key(F.col("published")).alias("period_key"))
 
 
-@query("select substr(sha256(trim(text)), 1, 16) as content_hash, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
+@query(rf"select substr(sha256({BARE}), 1, 16) as content_hash, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
 def exact_dedup(t):
     return t.documents.groupBy(X.content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
@@ -204,7 +205,12 @@ def html_text_strip(t):
     return t.pages.select("page_id", X.strip_html(F.col("html")).alias("s")).select("page_id", F.char_length("s").cast("long").alias("n_chars"), F.sha2(F.col("s").cast("binary"), 256).alias("h"))
 
 
-@query()
+_MARKS = " + ".join(f"len(regexp_extract_all(s, '{m}'))" for m in X.NAVIGATION_MARKERS)
+
+
+@query(rf"""with p as (select page_id, url, lower(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) as s from pages),
+  w as (select *, list_filter(string_split(s, ' '), lambda x: x <> '') as words, {_MARKS} as marks from p)
+  select page_id, len(words) < 80 or marks / greatest(len(words), 1) > 0.08 or len(list_distinct(words)) / greatest(len(words), 1) < 0.35 or coalesce(contains(lower(url), '/videos/'), false) as boilerplate from w""")
 def boilerplate_gate(t):
     return t.pages.select("page_id", "url", X.strip_html(F.col("html")).alias("s")).select("page_id", X.is_boilerplate(F.col("s"), F.col("url")).alias("boilerplate"))
 
@@ -318,10 +324,10 @@ def asset_event_chunks(t):
 
 
 @query("""select chunk_id, kind, score from (select *, row_number() over (partition by chunk_id order by score desc, kind) as rn from (
-  select l_orderkey as chunk_id, 'entity' as kind, max(l_quantity) as score from lineitem where l_partkey <= 20 group by 1 union all select l_orderkey, 'asset', max(l_quantity) from lineitem where l_suppkey <= 3 group by 1)) where rn = 1""")
+  select l_orderkey as chunk_id, 'entity' as kind, max(l_quantity) as score from lineitem where l_returnflag = 'R' group by 1 union all select l_orderkey, 'asset', max(l_quantity) from lineitem where l_linestatus = 'O' group by 1)) where rn = 1""")
 def hybrid_union_best(t):
     part = lambda cond, kind: t.lineitem.where(cond).groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.max("l_quantity").alias("score")).withColumn("kind", F.lit(kind))
-    return C.top_per_key(part("l_partkey <= 20", "entity").unionByName(part("l_suppkey <= 3", "asset")), ["chunk_id"], [F.desc("score"), F.col("kind")])
+    return C.top_per_key(part("l_returnflag = 'R'", "entity").unionByName(part("l_linestatus = 'O'", "asset")), ["chunk_id"], [F.desc("score"), F.col("kind")])
 
 
 @query("select conv_id, turn, last_value(case when length(text) % 3 = 0 then length(text) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as carried from conversations")

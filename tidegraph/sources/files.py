@@ -39,7 +39,10 @@ def read_panel(spark: SparkSession, path: str, metrics: dict[str, list[str]], da
 
 
 def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str, order: list) -> None:
-    """Insert-or-ignore into a table of parquet files: only rows with a key it lacks are written."""
+    """Insert-or-ignore into a table of parquet files, made if missing: only rows with a key it lacks are written."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        rows.limit(0).write.parquet(path)
     have = spark.read.schema(rows.schema).parquet(path)
     fresh = insert_or_ignore(have.limit(0), rows, key, order).join(have.select(key), key, "left_anti")
     fresh.select(rows.columns).write.mode("append").parquet(path)

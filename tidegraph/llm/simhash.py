@@ -30,6 +30,8 @@ PAIRED_WIDE = 8
 #: Members of a posting that meet in one block of the exact rest; bits of the bitmaps there.
 UNIT = 512
 BITMAP = 1024
+#: Sets of so many shingles are also told apart by their fingerprints, as bitmaps of fixed size fill up.
+LONG = 256
 #: Pairs of two groups that a block gives at first.
 FEW = 4
 #: Least number and share of the texts whose shingles are counted, and most shingles that are then put last, for short postings.
@@ -277,8 +279,8 @@ def _common(first: DataFrame, words: int) -> np.ndarray:
 
 
 def _shingle_sets(first: DataFrame, common: np.ndarray, words: int, similarity: float, planes: int) -> DataFrame:
-    """(id, n, f, bits, prefix, whole): distinct shingles, their fingerprint and parity bitmap, the first of them in one order
-    of all shingles, a digest of all. One pass over the texts.
+    """(id, n, f, bits, prefix, whole): distinct shingles, their fingerprint, their parity bitmap and the fingerprint's bytes,
+    the first of them in one order of all shingles, a digest of all. One pass over the texts.
 
     A set that is similar to one of n shingles shares at least similarity * n with it, so two similar sets share one of the first
     n - ceil(similarity * n) + 1 of each. A bit of the bitmap is the parity of the hashes that fall on it, so two sets differ
@@ -300,7 +302,7 @@ def _shingle_sets(first: DataFrame, common: np.ndarray, words: int, similarity:
                 length = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
                 n.append(len(h))
                 f.append(_majority(h, planes))
-                bits.append(np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).tobytes())
+                bits.append(np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).tobytes() + np.array(f[-1], np.int64).tobytes())
                 prefix.append(h[np.lexsort((h, rank))[:length]].view(np.int64))
                 whole.append(xxhash.xxh3_128_digest(h.tobytes()))
             longs = pa.list_(pa.int64())
@@ -310,15 +312,24 @@ def _shingle_sets(first: DataFrame, common: np.ndarray, words: int, similarity:
     return staged(first.select("id", "text").mapInArrow(run, "id long, n long, f array<bigint>, bits binary, prefix array<bigint>, whole binary"), "sets")
 
 
+def _far(bits: int, similarity: float) -> int:
+    """Differing bits that a pair at the similarity passes with a chance below 1e-9: 7.2 standard deviations over the mean."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + 7.2 * math.sqrt(bits * p * (1 - p)))
+
+
 def _met(rows: list[np.ndarray], similarity: float, few: int) -> np.ndarray | None:
     """(a, b, ra, rb, withheld) of the pairs that meet in a unit, have different roots and can be similar.
 
     rows: id, root, n, side, i, j, number of the unit, bits as columns, units whole and in order. In a unit of two blocks only
-    members of different sides meet. A unit gives the pairs of each two roots that are nearest by bitmap, `few` at most (0: all);
+    members of different sides meet. Bits are the parity bitmap, an exact bound, and then the fingerprint, which tells
+    long sets apart (`_far`). A unit gives the pairs of each two roots that are nearest by bitmap, `few` at most (0: all);
     withheld says whether it had more.
     """
     ids, root, n, side, i, j, unit, bits = rows
     one, found, x, k = i == j, [], np.arange(len(ids)), 0
+    marks, bits = bits[:, BITMAP // 64 :], bits[:, : BITMAP // 64]
+    far = _far(64 * marks.shape[1], similarity)
     while True:  # members k apart in the order, of all units at once
         k += 1
         x = x[: np.searchsorted(x, len(ids) - k)]
@@ -332,6 +343,7 @@ def _met(rows: list[np.ndarray], similarity: float, few: int) -> np.ndarray | No
         both = n[u] + n[y]
         shared = np.minimum((both - differ) // 2, np.minimum(n[u], n[y]))
         near = shared >= similarity * (both - shared) - 1e-9
+        near &= (np.minimum(n[u], n[y]) < LONG) | (np.bitwise_count(marks[u] ^ marks[y]).sum(1, dtype=np.int64) <= far)
         if near.any():
             found.append(np.stack([u[near], y[near], differ[near]]))
     if not found:

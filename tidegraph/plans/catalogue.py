@@ -244,7 +244,17 @@ def sentence_split(t):
     return t.documents.select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
+@query(r"""with recursive s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as parts from documents),
+  w as (select doc_id, parts, list_transform(parts, lambda x: cast(trunc(len(regexp_extract_all(x, '\S+')) / 0.75) as int)) as n from s where len(parts) > 0),
+  -- before sentence k: from where the open chunk starts, and the chunks closed so far as [start, end]
+  g as (select doc_id, 1 as k, 1 as start, cast([] as int[][]) as done from w
+    union all
+    select g.doc_id, g.k + 1, case when full_ then g.k - tail else g.start end, case when full_ then list_append(g.done, [g.start, g.k - 1]) else g.done end
+    from (select g.*, g.k > g.start and list_sum(n[g.start:g.k - 1]) + n[g.k] > 400 as full_,
+        len(list_filter(range(1, g.k - g.start + 1), lambda j: list_sum(n[g.k - j:g.k - 1]) <= 50)) as tail from g join w on w.doc_id = g.doc_id where g.k <= len(n)) g),
+  e as (select g.doc_id, w.parts, list_append(g.done, [g.start, g.k - 1]) as c from g join w on w.doc_id = g.doc_id where g.k = len(w.n) + 1),
+  c as (select doc_id, unnest(range(0, len(c))) as chunk_index, unnest(list_transform(c, lambda x: array_to_string(parts[x[1]:x[2]], ' '))) as chunk from e)
+  select doc_id, cast(chunk_index as int) as chunk_index, cast(trunc(len(regexp_split_to_array(chunk, '\s+')) / 0.75) as int) as token_count, sha256(chunk) as h from c""")
 def chunk_pack(t):
     return nlp.chunks(t.articles, "doc_id", "text").select("doc_id", "chunk_index", "token_count", F.sha2(F.col("chunk").cast("binary"), 256).alias("h"))
 
@@ -363,7 +373,7 @@ def set_recall_precision(t):
     return j.select("k", h.cast("long").alias("hits"), r.alias("recall"), p.alias("precision"))
 
 
-@query()
+@query()  # SQL over the shingles of long texts is too slow; tests/test_near_dup_keep.py has the brute force
 def near_dup_keep(t):
     return nlp.near_dup_keep(t.articles, "doc_id", "text", "published")
 

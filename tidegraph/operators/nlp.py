@@ -52,30 +52,61 @@ def chunks(articles: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"chunk_id": F.concat_ws("::", F.col(id_col).cast("string"), F.lit("chunk"), F.col("chunk_index").cast("string")), "token_count": (F.size(F.split("chunk", r"\s+")) / 0.75).cast("int")})
 
 
+#: Rounds in which the first open member of a bucket is compared with the bucket; members still open after them are paired.
+LEADER_ROUNDS = 3
+
+
+def verified(pairs: DataFrame, rows: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of at least that Jaccard similarity.
+
+    rows: (id, n, sig), shingle counts and 64 minima cut to bytes; shingles: (id, g). Counts reject exactly; the minima
+    reject what agrees in 7 standard deviations less than a pair at the similarity (its chance below 1e-9). Only the
+    pairs left carry their shingle sets.
+    """
+    least = 64 * similarity - 7 * (64 * similarity * (1 - similarity)) ** 0.5
+    side = lambda c: rows.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(agree >= least).select("a", "b")
+    both = near.join(shingles.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(shingles.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    same = F.size(F.array_intersect("ga", "gb"))
+    return both.where(same >= similarity * (F.size("ga") + F.size("gb") - same)).select("a", "b")
+
+
 def near_dup_keep(articles: DataFrame, id_col: str, text_col: str, date_col: str, words: int = 5, similarity: float = 0.86) -> DataFrame:
     """Ids kept by greedy near-duplicate removal, oldest first.
 
-    Of equal shingle sets the oldest stands for all: what drops it drops its copies too. Candidates share one of 16 bands of
-    4 minima of hashed shingles; all members of a band's bucket are paired, and pairs are verified by exact Jaccard.
+    Of equal shingle sets the oldest stands for all: what drops it drops its copies too. Candidates share one of 16 bands
+    of 4 minima of hashed shingles. A document that is the oldest open one of all its buckets is kept and drops what it
+    resembles in them, so a group of copies costs a comparison each; after `LEADER_ROUNDS` members still open are paired.
     """
     spark = articles.sparkSession
     if not spark.sparkContext.getCheckpointDir():  # the cluster's shared folder, else one that all its machines see
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    order = articles.select(F.col(id_col).alias("id"), F.struct(date_col, id_col).alias("rank"))
     w = X.dedup_tokens(F.col(text_col))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, words), " "))))
-    base = articles.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w") > 0).select("id", F.array_sort(grams).alias("g")).checkpoint()
-    oldest = base.join(order, "id").groupBy("g").agg(F.min(F.struct("rank", "id")).alias("x"))
-    classes = oldest.select("x.id", "g").checkpoint()
-    copies = base.join(classes.select("id"), "id", "left_anti").select("id")
+    tokens = articles.select(F.col(id_col).alias("id"), F.struct(date_col, id_col).alias("rank"), w.alias("w"))
+    base = tokens.where(F.size("w") > 0).select("id", "rank", F.array_sort(grams).alias("g")).checkpoint()
+    same_set = F.md5(F.array_join(F.transform("g", lambda x: x.cast("string")), ","))
+    oldest = base.groupBy(same_set.alias("key")).agg(F.min(F.struct("rank", "id")).alias("x")).select("x.id")
     minimum = lambda k: F.array_min(F.transform("g", lambda x: F.xxhash64(x, F.lit(k))))  # noqa: E731  (a second parameter of the inner lambda would be the index)
-    least = [minimum(k) for k in range(64)]
-    bands = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(b), *least[4 * b : 4 * b + 4]) for b in range(16)])).alias("band"))
-    pairs = bands.withColumnRenamed("id", "a").join(bands.withColumnRenamed("id", "b"), "band").where("a < b").select("a", "b").distinct()
-    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(classes.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
-    same = F.size(F.array_intersect("ga", "gb"))
-    linked = both.where(same >= similarity * (F.size("ga") + F.size("gb") - same)).select("a", "b")
-    return greedy_keep(order.join(copies, "id", "left_anti"), linked)
+    minima = base.join(oldest, "id", "left_semi").select("id", "rank", F.size("g").alias("n"), F.array(*[minimum(k) for k in range(64)]).alias("m"))
+    bands = F.array(*[F.xxhash64(F.lit(b), F.slice("m", 4 * b + 1, 4)) for b in range(16)])
+    classes = minima.select("id", "rank", "n", bands.alias("bands"), F.transform("m", lambda x: F.shiftright(x, 56).cast("tinyint")).alias("sig")).checkpoint()
+    left, kept = classes, tokens.where(F.coalesce(F.size("w"), F.lit(0)) <= 0).select("id")
+    for _ in range(LEADER_ROUNDS):
+        members = left.select("id", "rank", F.explode("bands").alias("band"))
+        heads = members.groupBy("band").agg(F.min(F.struct("rank", "id")).alias("h"))
+        met = members.join(heads, "band").groupBy("id").agg(F.collect_set("h.id").alias("heads")).checkpoint()
+        sure = met.where((F.size("heads") == 1) & (F.col("heads")[0] == F.col("id"))).select("id")
+        pairs = met.select(F.explode("heads").alias("a"), F.col("id").alias("b")).where("a <> b").join(sure.withColumnRenamed("id", "a"), "a", "left_semi")
+        decided = verified(pairs, classes, base, similarity).select(F.col("b").alias("id")).unionByName(sure)
+        kept = kept.unionByName(sure)
+        left = left.join(decided, "id", "left_anti").checkpoint()
+        if left.isEmpty():
+            return kept
+    members = left.select("id", F.explode("bands").alias("band"))
+    pairs = members.withColumnRenamed("id", "a").join(members.withColumnRenamed("id", "b"), "band").where("a < b").select("a", "b").distinct()
+    return kept.unionByName(greedy_keep(left.select("id", "rank"), verified(pairs, classes, base, similarity)))
 
 
 def snap(value: str | None, allowed: Sequence[str], cutoff: float = 0.6) -> tuple[str | None, str]:

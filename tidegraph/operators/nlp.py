@@ -54,6 +54,8 @@ def chunks(articles: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 #: Rounds in which the first open member of a bucket is compared with the bucket; members still open after them are paired.
 LEADER_ROUNDS = 3
+#: Candidate pairs (two ids each) are broadcast up to this counted number, so that the shingle sets needn't be shuffled.
+BROADCAST_PAIRS = 1 << 20
 
 
 def verified(pairs: DataFrame, rows: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -66,8 +68,11 @@ def verified(pairs: DataFrame, rows: DataFrame, shingles: DataFrame, similarity:
     least = 64 * similarity - 7 * (64 * similarity * (1 - similarity)) ** 0.5
     side = lambda c: rows.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(agree >= least).select("a", "b")
-    both = near.join(shingles.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(shingles.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(agree >= least).select("a", "b").checkpoint()
+    small = F.broadcast if near.count() <= BROADCAST_PAIRS else lambda df: df
+    late = shingles.select(F.col("id").alias("b"), F.col("g").alias("gb")).join(small(near), "b")
+    early = shingles.select(F.col("id").alias("a"), F.col("g").alias("ga")).join(small(near.select("a").distinct()), "a", "left_semi")
+    both = late.join(early, "a")
     same = F.size(F.array_intersect("ga", "gb"))
     return both.where(same >= similarity * (F.size("ga") + F.size("gb") - same)).select("a", "b")
 
@@ -85,13 +90,15 @@ def near_dup_keep(articles: DataFrame, id_col: str, text_col: str, date_col: str
     w = X.dedup_tokens(F.col(text_col))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, words), " "))))
     tokens = articles.select(F.col(id_col).alias("id"), F.struct(date_col, id_col).alias("rank"), w.alias("w"))
-    base = tokens.where(F.size("w") > 0).select("id", "rank", F.array_sort(grams).alias("g")).checkpoint()
-    same_set = F.md5(F.array_join(F.transform("g", lambda x: x.cast("string")), ","))
-    oldest = base.groupBy(same_set.alias("key")).agg(F.min(F.struct("rank", "id")).alias("x")).select("x.id")
-    minimum = lambda k: F.array_min(F.transform("g", lambda x: F.xxhash64(x, F.lit(k))))  # noqa: E731  (a second parameter of the inner lambda would be the index)
-    minima = base.join(oldest, "id", "left_semi").select("id", "rank", F.size("g").alias("n"), F.array(*[minimum(k) for k in range(64)]).alias("m"))
+    # the shingle next to a point of the hash space is a uniform choice, as a minimum is, at the price of an XOR
+    point = lambda k: F.lit((k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)).cast("long")
+    minimum = lambda k: F.array_min(F.transform("g", lambda x: x.bitwiseXOR(point(k))))  # noqa: E731  (a second parameter of the inner lambda would be the index)
+    sets = tokens.where(F.size("w") > 0).select("id", "rank", F.array_sort(grams).alias("g")).select("*", F.array(*[minimum(k) for k in range(64)]).alias("m"))
     bands = F.array(*[F.xxhash64(F.lit(b), F.slice("m", 4 * b + 1, 4)) for b in range(16)])
-    classes = minima.select("id", "rank", "n", bands.alias("bands"), F.transform("m", lambda x: F.shiftright(x, 56).cast("tinyint")).alias("sig")).checkpoint()
+    same_set = F.md5(F.array_join(F.transform("g", lambda x: x.cast("string")), ","))
+    base = sets.select("id", "rank", "g", F.size("g").alias("n"), bands.alias("bands"), F.transform("m", lambda x: F.shiftright(F.xxhash64(x), 56).cast("tinyint")).alias("sig"), same_set.alias("same")).checkpoint()
+    oldest = base.groupBy("same").agg(F.min(F.struct("rank", "id")).alias("x")).select("x.id")
+    classes = base.select("id", "rank", "n", "bands", "sig").join(oldest, "id", "left_semi").checkpoint()
     left, kept = classes, tokens.where(F.coalesce(F.size("w"), F.lit(0)) <= 0).select("id")
     for _ in range(LEADER_ROUNDS):
         members = left.select("id", "rank", F.explode("bands").alias("band"))

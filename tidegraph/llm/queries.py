@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat, langid, licenses, media, mixing, piecewise, quality, simhash, topk, warc
+from tidegraph.llm import chat, exponion, langid, licenses, media, mixing, piecewise, quality, simhash, topk, warc
 from tidegraph.llm.common import load, staged
 
 MODEL = "piece_bpe_32k.model"
@@ -74,6 +74,14 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality_model(docs, load(spark, sf_dir, "labels")))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.vector_codes(load(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.vector_clusters(load(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dims=64)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,9 +104,67 @@ def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_simhash_components, op3_piece_codec, op4_chat_format, op5_media_payloads, op6_warc_roundtrip, op7_license_scan, op8_exact_topk, op9_language_id, op10_line_quality, pipeline, mix_targets, media_payload_columns, license_base_columns)
+    f.__name__: f for f in (op1_mix_sources, op2_simhash_components, op3_piece_codec, op4_chat_format, op5_media_payloads, op6_warc_roundtrip, op7_license_scan, op8_exact_topk, op9_language_id, op10_line_quality, op12_vector_codes, op13_centroid_clusters, pipeline, mix_targets, media_payload_columns, license_base_columns)
 }
 
+
+def _means(name: str, members: str, entries: str, keys: str) -> str:
+    """CTE `name` (keys, c): the floored mean of the members of each entry, or the entry itself where it has none."""
+    on = " AND ".join(f"e.{k} = m.{k}" for k in keys.split(", "))
+    floored = "(s - ((s % n) + n) % n) // n"
+    return f"""{name} AS MATERIALIZED (
+            SELECT {", ".join(f"e.{k}" for k in keys.split(", "))}, coalesce(m.c, e.c) AS c FROM {entries} e LEFT JOIN (
+                SELECT {keys}, list(CAST({floored} AS BIGINT) ORDER BY i) AS c FROM (
+                    SELECT {keys}, i, sum(x) AS s, count(*) AS n FROM (SELECT {keys}, generate_subscripts(x, 1) AS i, unnest(x) AS x FROM {members}) GROUP BY ALL
+                ) GROUP BY {keys}) m ON {on})"""
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """op12 by comparing every part with every entry, round after round."""
+    fine = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0 AND len(embedding) % 16 = 0"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+            SELECT n, vec_id, label, p, x, (b).e AS e, (b).d AS d FROM (
+                SELECT q.n, q.vec_id, q.label, q.p, q.x, min({{'d': CAST(list_sum(list_transform(list_zip(q.x, k.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': k.e}}) AS b
+                FROM q JOIN b{r} k USING (p) GROUP BY ALL))""")
+        if r < rounds:
+            steps.append(_means(f"b{r + 1}", f"a{r}", f"b{r}", "p, e"))
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS n, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE {fine}
+        ), q AS MATERIALIZED (
+            SELECT n, vec_id, label, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM v, (SELECT unnest(range(16)) AS p)
+            WHERE len(v) = (SELECT len(v) FROM v WHERE n = 0)
+        ), b0 AS MATERIALIZED (SELECT p, n AS e, x AS c FROM q WHERE n < 64),
+        {", ".join(steps)},
+        digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM b{rounds}),
+        r AS (SELECT n, vec_id, label, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY n, vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM digest) AS codebooks_sha256 FROM r"""
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """op13 by comparing every vector with every centroid, round after round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+            SELECT n, vec_id, x, (b).e AS e, (b).d AS d FROM (
+                SELECT q.n, q.vec_id, q.x, min({{'d': CAST(list_sum(list_transform(list_zip(q.x, k.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': k.e}}) AS b
+                FROM q CROSS JOIN b{r} k GROUP BY ALL))""")
+        if r < rounds:
+            steps.append(_means(f"b{r + 1}", f"a{r}", f"b{r}", "e"))
+    return f"""
+        WITH q AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, embedding) - 1 AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), b0 AS MATERIALIZED (SELECT n AS e, x AS c FROM q WHERE n < 8 AND vec_id IS NOT NULL),
+        {", ".join(steps)}
+        SELECT vec_id, CAST(a{rounds}.e AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.e) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(b{rounds}.c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN b{rounds} ON a{rounds}.e = b{rounds}.e"""
+
+
 #: DuckDB SQL, over whole tables. What a fitted model, XXH64 or a tokenizer decides is held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op4_chat_format": r"""
@@ -157,4 +223,6 @@ ORACLES: dict[str, str] = {
             CAST(list_min(cc || gpl || res) - 1 AS BIGINT) AS first_word, CAST(list_max(cc || gpl || res) - 1 AS BIGINT) AS last_word,
             concat_ws(',', CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END) AS base_labels
         FROM m""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_centroid_clusters": _clusters_sql(),
 }

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from tidegraph.llm import langid, mixing, piecewise, quality, simhash
 from tidegraph.llm.common import load, staged
 from tidegraph.llm.queries import tokenizer_file
+from tidegraph.shipping import shipped
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its language's calibrated probability is lower, or it has no letter.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+@shipped
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the line classifier rejects go. Labels come from the labels table, held-out ids excepted.
 
@@ -28,6 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where("predicted = 1").select("doc_id", "text", "row.*")
 
 
+@shipped
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a letter, or whose language the model can't tell, go; each is judged by its own text, as above.
 
@@ -37,6 +40,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pred.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc_id", "text", "row.*")
 
 
+@shipped
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of copies, exact or near (five words, 0.8), one row stays: that of the least id, nulls last.
 
@@ -52,6 +56,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return alone.unionByName(several)
 
 
+@shipped
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources share 150 % of all words by weights 3, 1, 2, up to two passes of each: rows go, stay or come twice.
 
@@ -62,6 +67,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mixed_rows(docs.select(*COLUMNS), mix).select(*COLUMNS)
 
 
+@shipped
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each row, decoded again."""
     return piecewise.encode_digests(docs, tokenizer_file())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat, exponion, langid, licenses, media, mixing, piecewise, quality, simhash, topk, warc
+from tidegraph.llm import chat, exponion, langid, licenses, media, minhash, mixing, piecewise, quality, simhash, topk, warc
 from tidegraph.llm.common import load, staged
 
 MODEL = "piece_bpe_32k.model"
@@ -74,6 +74,10 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality_model(docs, load(spark, sf_dir, "labels")))
 
 
+def op11_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(load(spark, sf_dir, "documents"), words=5, similarity=0.85)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.vector_codes(load(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
@@ -104,7 +108,7 @@ def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_simhash_components, op3_piece_codec, op4_chat_format, op5_media_payloads, op6_warc_roundtrip, op7_license_scan, op8_exact_topk, op9_language_id, op10_line_quality, op12_vector_codes, op13_centroid_clusters, pipeline, mix_targets, media_payload_columns, license_base_columns)
+    f.__name__: f for f in (op1_mix_sources, op2_simhash_components, op3_piece_codec, op4_chat_format, op5_media_payloads, op6_warc_roundtrip, op7_license_scan, op8_exact_topk, op9_language_id, op10_line_quality, op11_minhash_components, op12_vector_codes, op13_centroid_clusters, pipeline, mix_targets, media_payload_columns, license_base_columns)
 }
 
 
@@ -223,6 +227,20 @@ ORACLES: dict[str, str] = {
             CAST(list_min(cc || gpl || res) - 1 AS BIGINT) AS first_word, CAST(list_max(cc || gpl || res) - 1 AS BIGINT) AS last_word,
             concat_ws(',', CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END) AS base_labels
         FROM m""",
+    "op11_minhash_components": r"""
+        WITH RECURSIVE w AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS MATERIALIZED (SELECT n, doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END) AS g FROM w),
+        c AS MATERIALIZED (SELECT min(doc_id) AS id, g, len(g) AS size FROM g WHERE len(g) > 0 GROUP BY g),
+        u AS MATERIALIZED (SELECT id, size, unnest(g) AS s FROM c),
+        l AS MATERIALIZED (
+            SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.s = b.s AND a.id < b.id AND 100 * least(a.size, b.size) >= 85 * greatest(a.size, b.size)
+            GROUP BY a.id, b.id, a.size, b.size HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))),
+        e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(id, least) AS (SELECT id, id FROM c UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.id),
+        m AS (SELECT id, min(least) AS component FROM r GROUP BY id)
+        SELECT doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+        FROM g LEFT JOIN c ON c.g = g.g LEFT JOIN m ON m.id = c.id""",
     "op12_vector_codes": _codes_sql(),
     "op13_centroid_clusters": _clusters_sql(),
 }

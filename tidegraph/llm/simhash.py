@@ -30,8 +30,6 @@ PAIRED_WIDE = 8
 #: Members of a posting that meet in one block of the exact rest; bits of the bitmaps there.
 UNIT = 512
 BITMAP = 1024
-#: Sets of so many shingles are also told apart by their fingerprints, as bitmaps of fixed size fill up.
-LONG = 256
 #: Pairs of two groups that a block gives at first.
 FEW = 4
 #: Least number and share of the texts whose shingles are counted, and most shingles that are then put last, for short postings.
@@ -190,7 +188,11 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, id_co
 def _verified(close: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of candidate pairs (a, b): those whose shingle sets are similar. close is staged; texts: (id, text)."""
     wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    texts = staged(texts.join(wanted, "id", "left_semi"), "texts")
+    return confirmed(close, staged(texts.join(wanted, "id", "left_semi"), "texts"), words, similarity)
+
+
+def confirmed(close: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """`_verified` by texts that are staged, those of the pairs alone."""
     both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,58 +280,83 @@ def _common(first: DataFrame, words: int) -> np.ndarray:
     return np.array([r.h for r in found], np.int64).view(np.uint64)
 
 
-def _shingle_sets(first: DataFrame, common: np.ndarray, words: int, similarity: float, planes: int) -> DataFrame:
-    """(id, n, f, bits, prefix, whole): distinct shingles, their fingerprint, their parity bitmap and the fingerprint's bytes,
-    the first of them in one order of all shingles, a digest of all. One pass over the texts.
+def parity_bitmap(h: np.ndarray, bits: int) -> bytes:
+    """A bit is the parity of the hashes that fall on it, so two sets differ in at least as many shingles as their bitmaps in bits."""
+    return np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def wide_bitmap(h: np.ndarray) -> bytes | None:
+    """A bitmap that grows with the set, for sets that fill one of BITMAP bits."""
+    return parity_bitmap(h, 1 << (len(h) - 1).bit_length()) if len(h) > BITMAP else None
 
-    A set that is similar to one of n shingles shares at least similarity * n with it, so two similar sets share one of the first
-    n - ceil(similarity * n) + 1 of each. A bit of the bitmap is the parity of the hashes that fall on it, so two sets differ
-    in at least as many shingles as their bitmaps in bits.
+
+def set_prefix(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a set's sorted hashes in one order of all: a set that is similar to one of n shingles shares at least
+    similarity * n with it, so two similar sets share one of the first n - ceil(similarity * n) + 1 of each.
+
+    order: sorted common hashes and their ranks; other hashes come before them, by themselves.
     """
+    in_order, rank_of = order
+    if not len(h):
+        return h.view(np.int64)
+    rank = np.zeros(len(h), np.int64)
+    if len(in_order):
+        at = np.minimum(np.searchsorted(in_order, h), len(in_order) - 1)
+        rank = np.where(in_order[at] == h, rank_of[at] + 1, 0)
+    return h[np.lexsort((h, rank))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]].view(np.int64)
+
+
+def _shingle_sets(first: DataFrame, common: np.ndarray, words: int, similarity: float, planes: int) -> DataFrame:
+    """(id, n, f, bits, wide, prefix, whole): distinct shingles, their fingerprint, their parity bitmaps, the first of them in one
+    order of all shingles, a digest of all. One pass over the texts."""
     by_hash = np.argsort(common)
     order = first.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))  # COMMON entries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_order, rank_of = order.value
         for b in sliced(batches):
-            n, f, bits, prefix, whole = [], [], [], [], []
-            for t in b.column(1):
-                h = _hashes(t.as_py(), words)
-                rank = np.zeros(len(h), np.int64)
-                if len(in_order) and len(h):
-                    at = np.minimum(np.searchsorted(in_order, h), len(in_order) - 1)
-                    rank = np.where(in_order[at] == h, rank_of[at] + 1, 0)
-                length = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
-                n.append(len(h))
-                f.append(_majority(h, planes))
-                bits.append(np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).tobytes() + np.array(f[-1], np.int64).tobytes())
-                prefix.append(h[np.lexsort((h, rank))[:length]].view(np.int64))
-                whole.append(xxhash.xxh3_128_digest(h.tobytes()))
+            found = [_hashes(t.as_py(), words) for t in b.column(1)]
             longs = pa.list_(pa.int64())
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(f, longs), pa.array(bits, pa.binary()), pa.array(prefix, longs), pa.array(whole, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "f", "bits", "prefix", "whole"])
+            cols = [
+                b.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([_majority(h, planes) for h in found], longs), pa.array([parity_bitmap(h, BITMAP) for h in found], pa.binary()),
+                pa.array([wide_bitmap(h) for h in found], pa.binary()), pa.array([set_prefix(h, order.value, similarity) for h in found], longs), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "f", "bits", "wide", "prefix", "whole"])
 
-    return staged(first.select("id", "text").mapInArrow(run, "id long, n long, f array<bigint>, bits binary, prefix array<bigint>, whole binary"), "sets")
+    return staged(first.select("id", "text").mapInArrow(run, "id long, n long, f array<bigint>, bits binary, wide binary, prefix array<bigint>, whole binary"), "sets")
 
 
-def _far(bits: int, similarity: float) -> int:
-    """Differing bits that a pair at the similarity passes with a chance below 1e-9: 7.2 standard deviations over the mean."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + 7.2 * math.sqrt(bits * p * (1 - p)))
+def _may_be_near(na: int, x: bytes, nb: int, y: bytes, similarity: float) -> bool:
+    """Whether two sets' wide bitmaps allow the similarity; the larger is folded to the smaller's size, which keeps parities."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(u) < len(v):
+        u, v = v, u
+    differ = int(np.bitwise_count(np.bitwise_xor.reduce(u.reshape(-1, len(v)), axis=0) ^ v).sum())
+    shared = min((na + nb - differ) // 2, na, nb)
+    return shared >= similarity * (na + nb - shared) - 1e-9
+
+
+def _by_wide_bitmaps(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, withheld) but those of two long sets that their wide bitmaps tell apart: an exact bound."""
+    long = lambda c: sets.where("wide is not null").select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [wa is None or wb is None or _may_be_near(na, wa, nb, wb, similarity) for na, wa, nb, wb in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1, 2)], ["a", "b", "withheld"])
+
+    both = pairs.join(long("a"), "a", "left").join(long("b"), "b", "left").select("a", "b", "withheld", "na", "wa", "nb", "wb")
+    return both.mapInArrow(run, "a long, b long, withheld boolean")
 
 
 def _met(rows: list[np.ndarray], similarity: float, few: int) -> np.ndarray | None:
     """(a, b, ra, rb, withheld) of the pairs that meet in a unit, have different roots and can be similar.
 
     rows: id, root, n, side, i, j, number of the unit, bits as columns, units whole and in order. In a unit of two blocks only
-    members of different sides meet. Bits are the parity bitmap, an exact bound, and then the fingerprint, which tells
-    long sets apart (`_far`). A unit gives the pairs of each two roots that are nearest by bitmap, `few` at most (0: all);
-    withheld says whether it had more.
+    members of different sides meet. Bits are the parity bitmap, an exact bound. A unit gives the pairs of each two roots
+    that are nearest by bitmap, `few` at most (0: all); withheld says whether it had more.
     """
     ids, root, n, side, i, j, unit, bits = rows
     one, found, x, k = i == j, [], np.arange(len(ids)), 0
-    marks, bits = bits[:, BITMAP // 64 :], bits[:, : BITMAP // 64]
-    far = _far(64 * marks.shape[1], similarity)
     while True:  # members k apart in the order, of all units at once
         k += 1
         x = x[: np.searchsorted(x, len(ids) - k)]
@@ -343,7 +370,6 @@ def _met(rows: list[np.ndarray], similarity: float, few: int) -> np.ndarray | No
         both = n[u] + n[y]
         shared = np.minimum((both - differ) // 2, np.minimum(n[u], n[y]))
         near = shared >= similarity * (both - shared) - 1e-9
-        near &= (np.minimum(n[u], n[y]) < LONG) | (np.bitwise_count(marks[u] ^ marks[y]).sum(1, dtype=np.int64) <= far)
         if near.any():
             found.append(np.stack([u[near], y[near], differ[near]]))
     if not found:
@@ -442,7 +468,7 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, plane
     postings = _prefix_postings(distinct)
     for few in (FEW, 0):
         roots = staged(components(reduce(DataFrame.unionByName, links)), "roots")
-        cand = staged(_exact_pairs(postings, sets, roots, similarity, few).join(tried, ["a", "b"], "left_anti"), "candidates")
+        cand = staged(_by_wide_bitmaps(_exact_pairs(postings, sets, roots, similarity, few).join(tried, ["a", "b"], "left_anti"), sets, similarity), "candidates")
         links.append(_verified(cand.select("a", "b"), first, words, similarity))
         tried = tried.unionByName(cand.select("a", "b"))
         if cand.where("withheld").isEmpty():

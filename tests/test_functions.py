@@ -35,9 +35,10 @@ def test_pack():
 
 def test_enums_and_json():
     allowed = ["rate_hike", "tariff", "strike"]
-    assert nlp.snap("Tariff", allowed) == ("tariff", "kept") and nlp.snap("tarif", allowed) == ("tariff", "snapped") and nlp.snap(None, allowed) == (None, "dropped")
-    assert nlp.repair_json('{"events": [{"a": "}"}, {"b": 1}, {"c": "tr') == '{"events": [{"a": "}"}, {"b": 1}]}'
-    assert nlp.repair_json("none") is None and nlp.repair_json("[1]") == "[1]"
+    assert nlp.snap("tariff", allowed) == ("tariff", "kept") and nlp.snap("Tariff", allowed) == ("tariff", "snapped") and nlp.snap("tarif", allowed) == ("tariff", "snapped") and nlp.snap(None, allowed) == (None, "dropped")
+    assert nlp.repair_json('{"a": "}"} and {"b": 1} then {"c": "tr') == '{"a": "}"} and {"b": 1}'
+    assert nlp.repair_json('{"events": [{"a": 1}, {"b": "x') is None and nlp.repair_json("none") is None and nlp.repair_json(None) is None
+    assert nlp.repair_json('{"a": "\\"}{"} "open }') == '{"a": "\\"}{"}' and nlp.repair_json('{} "{}\\') == "{}"
 
 
 def test_greedy_keep_is_not_components(spark, tmp_path):

@@ -41,13 +41,13 @@ def test_enforced_events(spark):
     events, audit = S.enforce_events(spark.createDataFrame(rows, kind), allowed)
     got = {r.event_id: (r.event_type, [tuple(c) for c in r.channels]) for r in events.collect()}
     assert got == {1: ("tariff", [("rate", "up", "strong"), ("rate", "up", "weak")]), 2: (None, []), 3: ("tariff", [])}
-    assert sorted((r.event_id, r.field, r.action) for r in audit.collect()) == [(1, "channel_name", "dropped"), (1, "channel_name", "snapped"), (1, "direction", "dropped"), (2, "event_type", "dropped"), (3, "event_type", "snapped")]
+    assert sorted((r.event_id, r.field, r.action) for r in audit.collect()) == [(1, "channel_name", "dropped"), (1, "channel_name", "snapped"), (1, "direction", "dropped"), (2, "event_type", "dropped"), (1, "event_type", "snapped"), (3, "event_type", "snapped")]
 
 
 def test_knowledge(spark):
     m = spark.createDataFrame([(5, "Acme", "", "2024-01", 9, 2), (5, "Acme Co", "ORG", "2024-01", 8, 3), (5, "Acme", "ORG", "2024-01", 9, 4)], "entity_id int, display_name string, entity_type string, period_key string, chunk_id int, ord int")
     node = S.knowledge_nodes(m).first()
-    assert node.asDict() == {"entity_id": 5, "period_key": "2024-01", "display_name": "Acme", "entity_type": "ORG", "source_chunks": [9, 8]}
+    assert node.asDict() == {"entity_id": 5, "period_key": "2024-01", "display_name": "Acme", "entity_type": "ORG", "ticker": None, "source_chunks": [9, 8]}
     chunks = spark.createDataFrame([(9, "Acme rose. Others fell. So did acme bonds."), (8, "Nothing here.")], "chunk_id int, text string")
     units = S.knowledge_units(m, chunks)
     assert {r.chunk_id: r.text for r in units.collect()} == {9: "Acme rose. So did acme bonds.", 8: "Nothing here."}

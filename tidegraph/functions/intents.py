@@ -29,6 +29,21 @@ HARD_TITLES = (
     "inflation", "interest rate", "fed ", "federal reserve", "gdp", "tariff", "recession", "yield", "unemployment", "cpi", "opec", "oil price",
     "monetary", "fiscal", "treasury", "deficit", "currency", "trade war", "sanctions", "rate hike", "rate cut", "central bank",
 )
+MACRO_TERMS = (
+    "inflation", "deflation", "stagflation", "interest rate", "rate hike", "rate cut", "rate decision", "federal reserve", "central bank", "ecb",
+    "bank of england", "boj", "pboc", "fed funds", "quantitative easing", "quantitative tightening", "gdp", "gross domestic product", "cpi", "pce",
+    "consumer price index", "yield", "treasury yield", "bond yield", "10-year yield", "tariff", "trade war", "trade deficit", "trade surplus", "crude oil",
+    "brent", "wti", "opec", "fiscal policy", "monetary policy", "recession", "economic growth", "economic slowdown", "unemployment", "nonfarm payroll",
+    "jobless claims", "exchange rate", "dollar index", "dxy", "sanctions", "export controls",
+)
+DIRECTIONAL_TERMS = (
+    "surged", "plunged", "spiked", "tumbled", "tightened", "eased", "cut rates", "hiked rates", "accelerated", "contracted", "expanded", "widened",
+    "narrowed",
+)
+NOISE_TERMS = (
+    "quarterly earnings", "earnings per share", "eps beat", "product launch", "iphone", "android", "stock buyback", "share repurchase",
+    "advertising revenue", "monthly active users",
+)
 MARKET_HINTS = (
     "price", "quote", "trading at", "market cap", "valuation", "p/e", "pe ratio", "eps", "fundamental", "balance sheet", "cash flow",
     "income statement", "company overview", "daily close", "open price", "high", "low", "volume", "performance", "return",

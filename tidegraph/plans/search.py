@@ -53,13 +53,13 @@ _TOP_EVENTS = """(select o_orderkey as event_id, case when o_orderstatus <> 'P'
   {periods} order by coalesce(confidence, 0) desc, o_orderkey limit 24)"""
 
 
-@query(f"""select event_id, chunk_id, coalesce(confidence, 0.55) as prior, published from {_TOP_EVENTS.format(key=f"l_partkey = {ENTITY}", periods="")} e join {CHUNKS} c on c.chunk_id = e.event_id where published >= date '1996-01-01'""")
+@query(f"""select event_id, chunk_id, coalesce(nullif(confidence, 0), 0.55) as prior, published from {_TOP_EVENTS.format(key=f"l_partkey = {ENTITY}", periods="")} e join {CHUNKS} c on c.chunk_id = e.event_id where published >= date '1996-01-01'""")
 def graph_event_chunks(t):
     links = t.lineitem.select(F.col("l_orderkey").alias("event_id"), "l_partkey")
     return S.event_chunks(links, event_rows(t), chunk_rows(t), F.col("l_partkey") == ENTITY, start="1996-01-01").select("event_id", "chunk_id", "prior", "published")
 
 
-@query(f"""select event_id, chunk_id, coalesce(confidence, 0.55) as prior, source from {_TOP_EVENTS.format(key=f"l_suppkey = {ASSET}", periods="and strftime(o_orderdate, '%Y') <> '1997' and strftime(o_orderdate, '%Y-%m') in ('1996-01', '1996-02', '1996-03', '1998-01', '1998-02', '1998-03')")} e join {CHUNKS} c on c.chunk_id = e.event_id""")
+@query(f"""select event_id, chunk_id, coalesce(nullif(confidence, 0), 0.55) as prior, source from {_TOP_EVENTS.format(key=f"l_suppkey = {ASSET}", periods="and strftime(o_orderdate, '%Y') <> '1997' and strftime(o_orderdate, '%Y-%m') in ('1996-01', '1996-02', '1996-03', '1998-01', '1998-02', '1998-03')")} e join {CHUNKS} c on c.chunk_id = e.event_id""")
 def graph_asset_chunks(t):
     links = t.lineitem.select(F.col("l_orderkey").alias("event_id"), "l_suppkey")
     periods = ["1996-01", "1996-02", "1996-03", "1998-01", "1998-02", "1998-03"]

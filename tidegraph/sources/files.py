@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import text as X
 from tidegraph.operators.core import insert_or_ignore
+from tidegraph.operators.mentions import entity_dictionary
 
 ARTICLE = "url string, source string, source_rss string, status string, error string, title string, published string, text string, author string, source_provider string"
 
@@ -28,6 +29,12 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     return alias.groupBy("alias").agg(F.max_by(F.struct("ticker", "company_name"), "at").alias("m")).select("alias", "m.*")
 
 
+def read_entity_dictionary(spark: SparkSession, companies: str, institutions: str) -> DataFrame:
+    """`mentions.entity_dictionary` of the two dictionary files, rows in the files' order."""
+    read = lambda path, schema: spark.read.schema(schema).option("header", True).csv(path).withColumn("ord", F.monotonically_increasing_id())
+    return entity_dictionary(read(companies, "ticker string, company_name string, aliases string"), read(institutions, "canonical_id string, display_name string, entity_type string, ticker string, aliases string"))
+
+
 def read_panel(spark: SparkSession, path: str, metrics: dict[str, list[str]], date_col: str = "date") -> DataFrame:
     """Long bars (bar_date, ticker, a column a metric, bar_uid) of a wide panel; metrics: ticker to its columns, in the
     order Open, High, Low, Close, Volume."""

@@ -34,16 +34,6 @@ def test_semantic_near_dup(spark):
     assert sorted((r.q, r["at"]) for r in got) == [(1, 1), (1, 3), (1, 4), (1, 6), (2, 1)]
 
 
-def test_enforced_events(spark):
-    kind = "event_id long, event_type string, channels array<struct<channel_name:string,direction:string,strength:string>>"
-    rows = [(1, "Tariff", [("rate", "up", "strong"), ("rats", "up", "weak"), ("nothing alike", "up", "weak"), ("rate", None, "weak")]), (2, "zzzz", None), (3, "tarif", [])]
-    allowed = {"event_type": ["tariff", "strike"], "channel_name": ["rate", "credit"], "direction": ["up", "down"], "strength": ["weak", "strong"]}
-    events, audit = S.enforce_events(spark.createDataFrame(rows, kind), allowed)
-    got = {r.event_id: (r.event_type, [tuple(c) for c in r.channels]) for r in events.collect()}
-    assert got == {1: ("tariff", [("rate", "up", "strong"), ("rate", "up", "weak")]), 2: (None, []), 3: ("tariff", [])}
-    assert sorted((r.event_id, r.field, r.action) for r in audit.collect()) == [(1, "channel_name", "dropped"), (1, "channel_name", "snapped"), (1, "direction", "dropped"), (2, "event_type", "dropped"), (1, "event_type", "snapped"), (3, "event_type", "snapped")]
-
-
 def test_knowledge(spark):
     m = spark.createDataFrame([(5, "Acme", "", "2024-01", 9, 2), (5, "Acme Co", "ORG", "2024-01", 8, 3), (5, "Acme", "ORG", "2024-01", 9, 4)], "entity_id int, display_name string, entity_type string, period_key string, chunk_id int, ord int")
     node = S.knowledge_nodes(m).first()

@@ -58,10 +58,11 @@ def outcomes(rows: DataFrame, runs: DataFrame, threshold: int = 3) -> DataFrame:
     parsed = F.try_parse_json("raw_json")
     is_object = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
     j = j.withColumns({"_ok": is_object, "_events": F.from_json("raw_json", EVENTS)["events"]})
-    n = F.greatest(F.coalesce(F.size("_events"), F.lit(0)), F.lit(0))
+    judged = F.col("_left" if own else "_events")
+    n = F.greatest(F.coalesce(F.size(judged), F.lit(0)), F.lit(0))
     called = F.when(~F.coalesce("success", F.lit(False)), "api_failed").when(~F.col("_ok"), "parse_failed").when(n == 0, "empty_success").otherwise("events_written")
     j = j.withColumn("status", F.coalesce("status", called)).withColumn("event_count", F.when(F.col("status").isin("empty_success", "events_written"), n))
-    found = review_reasons(F.col("_left" if own else "_events"), F.when(F.col("status") == "events_written", F.col("actions")), F.col("macro_score"), F.col("was_hard"), threshold)
+    found = review_reasons(judged, F.when(F.col("status") == "events_written", F.col("actions")), F.col("macro_score"), F.col("was_hard"), threshold)
     reasons = (
         F.when(F.col("status") == "article_dedup_skipped", F.array(F.lit("article_level_redundancy_skip"))).when(F.col("status").isin("api_failed", "parse_failed"), F.array(F.col("status")))
         .when(F.col("status").isin("empty_success", "events_written"), found).otherwise(F.array().cast("array<string>"))

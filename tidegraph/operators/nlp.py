@@ -124,17 +124,6 @@ def snap(value: str | None, allowed: Sequence[str], cutoff: float = 0.6) -> tupl
     return (close[0], "snapped") if close else (None, "dropped")
 
 
-def snap_column(df: DataFrame, col: str, allowed: Sequence[str], out: str, cutoff: float = 0.6) -> DataFrame:
-    """Adds out: struct<value, action>. Distinct values are snapped once and joined back."""
-
-    @F.pandas_udf("struct<value:string,action:string>")
-    def snapped(v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([snap(x, allowed, cutoff) for x in v], columns=["value", "action"])
-
-    values = df.select(F.col(col).alias("_v")).distinct().withColumn(out, snapped("_v"))
-    return df.join(values, F.col(col).eqNullSafe(F.col("_v")), "left").drop("_v")
-
-
 _BRACES = re.compile(r'"(?:[^"\\]|\\.|\\\Z)*(?:"|\Z)|[{}]', re.DOTALL)
 
 

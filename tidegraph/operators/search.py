@@ -245,31 +245,3 @@ def merge_links(*sources: DataFrame) -> DataFrame:
         s = s.select("url", "provider", F.lit(i).alias("_list"), F.col("ord").alias("_ord"))
         rows = s if rows is None else rows.unionByName(s)
     return top_per_key(rows.where("url is not null and url <> ''"), ["url"], [F.col("_list"), F.col("_ord")]).select("url", "provider")
-
-
-def enforce_events(events: DataFrame, allowed: dict[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
-    """(events, audit) of nested events (event_id, event_type, channels array<struct<channel_name, direction, strength>>).
-
-    Each enum is kept, snapped to its nearest value or dropped as `nlp.snap` says; a channel that loses a field goes. audit:
-    (event_id, field, raw, value, action) of each field that was not kept. allowed: event_type, channel_name, direction, strength.
-    Distinct values are snapped once.
-    """
-    from tidegraph.operators.nlp import snap_column
-
-    one = events.select("event_id", F.posexplode_outer("channels").alias("at", "c"))
-    fields = ("channel_name", "direction", "strength")
-    flat = one.select("event_id", "at", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"c.{f}").alias("raw")) for f in fields])).alias("x")).where("at is not null").select("event_id", "at", "x.*")
-    flat = flat.unionByName(events.select("event_id", F.lit(-1).alias("at"), F.lit("event_type").alias("field"), F.col("event_type").alias("raw")))
-    done = None
-    for f, values in allowed.items():
-        part = snap_column(flat.where(F.col("field") == f), "raw", list(values), "s")
-        done = part if done is None else done.unionByName(part)
-    done = done.select("event_id", "at", "field", "raw", "s.value", "s.action")
-    by_row = done.groupBy("event_id", "at").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("m"))
-    pick = lambda f: F.col("m")[f].alias(f)
-    kinds = by_row.where("at = -1").select("event_id", pick("event_type"))
-    whole = by_row.where("at >= 0").select("event_id", "at", *map(pick, fields)).dropna(subset=list(fields))
-    kept = whole.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("at", *fields))).alias("x")).select("event_id", F.transform("x", lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("channels"))
-    empty = F.array().cast("array<struct<channel_name:string,direction:string,strength:string>>")
-    out = kinds.join(kept, "event_id", "left").select("event_id", "event_type", F.coalesce("channels", empty).alias("channels"))
-    return out, done.where("action <> 'kept'").select("event_id", "field", "raw", "value", "action")

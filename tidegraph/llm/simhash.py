@@ -351,11 +351,11 @@ def _by_wide_bitmaps(pairs: DataFrame, sets: DataFrame, similarity: float) -> Da
 def _met(rows: list[np.ndarray], similarity: float, few: int) -> np.ndarray | None:
     """(a, b, ra, rb, withheld) of the pairs that meet in a unit, have different roots and can be similar.
 
-    rows: id, root, n, side, i, j, number of the unit, bits as columns, units whole and in order. In a unit of two blocks only
-    members of different sides meet. Bits are the parity bitmap, an exact bound. A unit gives the pairs of each two roots
+    rows: id, root, n, side, i, j, number of the unit, bits and, if given, p1 and p2 as columns, units whole and in order. In a
+    unit of two blocks only members of different sides meet. Members that share a shingle before the unit's met there already. Bits are the parity bitmap, an exact bound. A unit gives the pairs of each two roots
     that are nearest by bitmap, `few` at most (0: all); withheld says whether it had more.
     """
-    ids, root, n, side, i, j, unit, bits = rows
+    ids, root, n, side, i, j, unit, bits, *before = rows
     one, found, x, k = i == j, [], np.arange(len(ids)), 0
     while True:  # members k apart in the order, of all units at once
         k += 1
@@ -366,6 +366,10 @@ def _met(rows: list[np.ndarray], similarity: float, few: int) -> np.ndarray | No
         y = x + k
         ok = (root[x] != root[y]) & (one[x] | (side[x] != side[y])) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
         u, y = x[ok], y[ok]
+        if before:
+            p = before[0]
+            met = ((p[u] != 0) & ((p[u] == p[y]) | (p[u] == p[y][:, ::-1]))).any(1)
+            u, y = u[~met], y[~met]
         differ = np.bitwise_count(bits[u] ^ bits[y]).sum(1, dtype=np.int64)
         both = n[u] + n[y]
         shared = np.minimum((both - differ) // 2, np.minimum(n[u], n[y]))
@@ -390,16 +394,19 @@ def _met(rows: list[np.ndarray], similarity: float, few: int) -> np.ndarray | No
 
 
 def _prefix_postings(sets: DataFrame) -> DataFrame:
-    """(key, id): prefix shingles that several sets hold, with them."""
-    rows = sets.select("id", F.explode("prefix").alias("key"))
-    return staged(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "prefixes")
+    """(key, id, p1, p2): prefix shingles that several sets hold, with them; p1, p2: the set's two shingles before it, 0 for none."""
+    before = lambda i, k: F.coalesce(F.get("prefix", i - k), F.lit(0).cast("long"))
+    rows = sets.select("id", F.explode(F.transform("prefix", lambda x, i: F.struct(x.alias("key"), before(i, 1).alias("p1"), before(i, 2).alias("p2")))).alias("x")).select("id", "x.*")
+    keys = sets.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+    return staged(rows.join(keys.where("c > 1").select("key"), "key"), "prefixes")
 
 
 def _exact_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, few: int) -> DataFrame:
     """(a, b, withheld): pairs of different roots that share a prefix shingle and whose sizes and bitmaps let them be similar.
 
     Every similar pair of different roots is among them; with few, that many of each two roots in a unit, the nearest by bitmap.
-    A posting meets block by block, so that no task gets it whole and no member is left out. Members of the posting's
+    A posting meets block by block, so that no task gets it whole and no member is left out; pairs that share one of the two
+    shingles before the posting's have met in that one's, so most pairs are made once. Members of the posting's
     largest root are linked already and never meet each other: once a group is linked, its postings cost their size only.
     """
     rooted = postings.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -409,24 +416,24 @@ def _exact_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, similar
     outer, inner = F.ceil((F.col("c") - F.col("r")) / UNIT), F.ceil(F.col("r") / UNIT)
     dealt = F.xxhash64("id")
     rows = rows.withColumns({"m": outer, "all": outer + inner, "side": F.when(F.col("root") == F.col("top"), outer + F.pmod(dealt, inner)).otherwise(F.pmod(dealt, outer))})
-    rows = rows.select("key", "id", "root", "side", "m", "all").join(sets.select("id", "n", "bits"), "id")
+    rows = rows.select("key", "id", "root", "side", "m", "all", "p1", "p2").join(sets.select("id", "n", "bits"), "id")
     last = F.when(F.col("side") < F.col("m"), F.col("all")).otherwise(F.col("m")) - 1
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    rows = rows.select("id", "root", "n", "side", "bits", "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    rows = rows.select("id", "root", "n", "side", "bits", "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "p1", "p2")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for b in chain(sliced(batches, 1 << 16), [None]):
             if b is not None:
-                cols = [b.column(k).to_numpy() for k in (0, 1, 2, 3, 6, 7, 5)] + [np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1)]
+                cols = [b.column(k).to_numpy() for k in (0, 1, 2, 3, 6, 7, 5)] + [np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1), np.stack([b.column(k).to_numpy() for k in (8, 9)], axis=1)]
                 held = cols if held is None else [np.concatenate(c) for c in zip(held, cols, strict=True)]
             if held is None:
                 return
             starts = np.r_[True, (np.diff(held[6]) != 0) | (np.diff(held[4]) != 0) | (np.diff(held[5]) != 0)]
             end = int(np.flatnonzero(starts)[-1]) if b is not None else len(starts)  # the last unit may go on
             if end:
-                out = _met([*(c[:end] for c in held[:6]), np.cumsum(starts)[:end], held[7][:end]], similarity, few)
+                out = _met([*(c[:end] for c in held[:6]), np.cumsum(starts)[:end], *(c[:end] for c in held[7:])], similarity, few)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "ra", "rb", "withheld"])
                 held = [c[end:] for c in held]

@@ -11,8 +11,9 @@ from tidegraph.operators import extraction as E
 def test_periods(spark):
     d = datetime.date
     cases = {
-        "": [(None, None)], "Summary of last week": [(d(2024, 3, 6), d(2024, 3, 12))], "compare yesterday and today": [(d(2024, 3, 12), d(2024, 3, 12))],
-        "from last month to this month?": [(d(2024, 2, 13), d(2024, 3, 13)), (d(2024, 3, 1), d(2024, 3, 13))], "prices since 2024-03-01 until now": [(d(2024, 3, 1), d(2024, 3, 1))],
+        "": [(None, None)], "Summary of last week": [(d(2024, 3, 6), d(2024, 3, 12))], "compare yesterday and today": [(d(2024, 3, 12), d(2024, 3, 12)), (d(2024, 3, 13), d(2024, 3, 13))], "May it rise?": [(None, None)],
+        "March 2023 vs. Q1 2024": [(d(2023, 3, 1), d(2023, 3, 31)), (d(2024, 1, 1), d(2024, 3, 31))], "versus 3 days ago": [(d(2024, 3, 10), d(2024, 3, 10))],
+        "from last month to this month?": [(d(2024, 2, 13), d(2024, 3, 13)), (d(2024, 3, 1), d(2024, 3, 13))], "prices since 2024-03-01 until now": [(d(2024, 3, 1), d(2024, 3, 13))],
     }
     df = spark.createDataFrame([(q,) for q in [*cases, None]], "q string")
     got = {r.q: [tuple(p) for p in r.p] for r in df.select("q", E.sub_queries(F.col("q"), F.lit("2024-03-13").cast("date")).alias("p")).collect()}

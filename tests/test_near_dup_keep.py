@@ -4,6 +4,8 @@ import datetime
 import random
 import re
 
+import numpy as np
+
 from tidegraph.operators import nlp
 
 
@@ -32,3 +34,26 @@ def test_groups_of_copies(spark):
     rows += [(1, "", day(1)), (2, " ", day(2))]
     got = nlp.near_dup_keep(spark.createDataFrame(rows, "id long, text string, d date"), "id", "text", "d")
     assert sorted(r.id for r in got.collect()) == brute(rows)
+
+
+def test_short_texts_at_the_limit(spark):
+    """Sets of 7 to 15 shingles, one more or less: none is lost, as independent minima lose about one pair in 10^6."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(11, 20))]
+        for j, t in enumerate((w, w[:-1], [*w, "end"], [*w, "a", "b"])):
+            rows.append((4 * k + j, " ".join(t), datetime.date(2024, 1, 1 + rng.randrange(28))))
+    got = nlp.near_dup_keep(spark.createDataFrame(rows, "id long, text string, d date"), "id", "text", "d")
+    assert sorted(r.id for r in got.collect()) == brute(rows)
+
+
+def test_minima_are_independent():
+    """Of sets of 8 and 7 shingles the minima agree as 64 independent draws would: in mean and in spread."""
+    rng = np.random.default_rng(3)
+    agree = []
+    for _ in range(4000):
+        h = rng.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2)
+        agree.append(int((nlp.minima(h) == nlp.minima(h[:7])).sum()))
+    assert abs(np.mean(agree) / 64 - 7 / 8) < 0.005
+    assert abs(np.var(agree) / (64 * 7 / 64) - 1) < 0.15

@@ -7,19 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.functions import dates as T
 from tidegraph.functions import intents as I
 from tidegraph.functions import temporal as D
 from tidegraph.functions import text as X
 from tidegraph.operators import answers as A
 from tidegraph.operators.retrieval import review_reasons
 
-# Queue names, terms that mark a time expression, words that ask for several periods
+# Queue names, words that ask for several periods
 RETRY_QUEUE, REVIEW_QUEUE = "retry_failed", "review_suspicious"
-MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
-TIME_WORDS = (
-    rf"(?i)\b(yesterday|last\s+week|this\s+week|last\s+month|this\s+month|today|ago|since|until|between|(?:{MONTHS})\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,)?\s+\d{{4}}|"
-    rf"(?:{MONTHS})\s+\d{{4}}|\d{{4}}[-/]\d{{2}}[-/]\d{{2}}|\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}}|\d{{4}}[-/]\d{{2}}|\d{{1,2}}/\d{{1,2}})\b"
-)
 MULTI_TIME_WORDS = r"(?i)\b(compare|vs\.?|versus|differ)\b"
 
 EVENTS = "events array<struct<event_type string, evidence_spans array<string>, asset_impacts array<string>, channels array<string>>>"
@@ -124,30 +120,29 @@ def history_block(turns: DataFrame, session: str, order: str, most: int = 3, sum
     return agg.select(session, F.concat(F.lit("[CONVERSATION HISTORY]"), head, F.lit("\n"), F.array_join(F.transform("x", lambda r: r["_line"]), "\n")).alias("history"))
 
 
-def time_phrase(phrase: Column, today: Column) -> Column:
-    """struct<start, end> of a phrase: a relative one, or a single day in digits or with its English month; else null."""
-    p = F.lower(F.trim(phrase))
-    named = F.coalesce(*[F.when(F.contains(p, F.lit(x)), F.lit(x)) for x in ("last week", "this week", "last month", "this month")], p)
-    plain = F.initcap(F.regexp_replace(F.regexp_replace(p, r"(\d)(st|nd|rd|th)\b", "$1"), ",", ""))
-    day = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "MMMM d yyyy")]).cast("date")
-    return F.coalesce(D.relative_range(named, today), F.when(day.isNotNull(), F.struct(day.alias("start"), day.alias("end"))))
-
-
 def sub_queries(question: Column, today: Column) -> Column:
     """array<struct<start, end>>: the periods that a question asks of, one struct of nulls for none.
 
-    `from A to B`, last and this week, last and this month, yesterday and today give two; else the best single time
-    expression gives one. Questions that compare otherwise get that one too: their split is a language model's.
+    `from A to B` at its end, last and this week, last and this month, yesterday and today give two; a question that compares
+    gives one for each of its date expressions, if it has several; else the best single one counts: one with four digits in a
+    row before others, then the longest, then the first. See `dates` for the expressions.
     """
     nulls = F.struct(F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end"))
     ends = r"(?i)from\s+(.+?)\s+to\s+(.+?)[\?\.\!,]?\s*$"
-    a, b = (time_phrase(F.regexp_extract(question, ends, i), today) for i in (1, 2))
     has = lambda *words: [question.rlike(rf"(?i)\b{w}\b") for w in words]
     pair = lambda x, y: F.array(D.relative_range(F.lit(x), today), D.relative_range(F.lit(y), today))
     (lw, tw, lm, tm, to, ye), multi = has(r"last\s+week", r"this\s+week", r"last\s+month", r"this\s+month", "today(?:'?s)?", "yesterday(?:'?s)?"), question.rlike(MULTI_TIME_WORDS)
-    found = F.regexp_extract_all(question, F.lit(TIME_WORDS), F.lit(0))
-    single = F.array(F.coalesce(time_phrase(F.regexp_replace(I.best_time_expression(found), r"\s+", " "), today), nulls))
-    return (
-        F.when(F.coalesce(~question.rlike(TIME_WORDS), F.lit(True)), F.array(nulls)).when(a.isNotNull() | b.isNotNull(), F.array(F.coalesce(a, nulls), F.coalesce(b, nulls)))
-        .when(lw & tw, pair("last week", "this week")).when(lm & tm, pair("last month", "this month")).when(to & ye & ~multi, pair("yesterday", "today")).otherwise(single)
-    )
+    def split(found: Column) -> Column:
+        texts = F.concat(F.array(*[F.regexp_extract(question, ends, i) for i in (1, 2)], I.best_time_expression(found)), found)
+        return T.let(F.transform(texts, lambda x: T.date_range(x, today)), lambda r: chosen(found, r))
+
+    def chosen(found: Column, ranges: Column) -> Column:
+        a, b = ranges[0], ranges[1]
+        single = F.array(F.coalesce(ranges[2], nulls))
+        each = F.filter(F.slice(ranges, 4, F.greatest(F.size(ranges) - 3, F.lit(0))), lambda r: r.isNotNull())
+        return (
+            F.when(F.size(found) == 0, F.array(nulls)).when(a.isNotNull() | b.isNotNull(), F.array(F.coalesce(a, nulls), F.coalesce(b, nulls)))
+            .when(lw & tw, pair("last week", "this week")).when(lm & tm, pair("last month", "this month")).when(to & ye & ~multi, pair("yesterday", "today")).when(multi & (F.size(each) > 1), each).otherwise(single)
+        )
+
+    return T.let(F.coalesce(T.expressions(question), F.array().cast("array<string>")), split)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions import text as X
-from tidegraph.operators.core import greedy_keep
+from tidegraph.operators.core import cut, greedy_keep
 
 _SPLIT = re.compile(r"(?<=[.!?])\s+")
 
@@ -53,66 +56,98 @@ def chunks(articles: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 #: Rounds in which the first open member of a bucket is compared with the bucket; members still open after them are paired.
 LEADER_ROUNDS = 3
-#: Candidate pairs (two ids each) are broadcast up to this counted number, so that the shingle sets needn't be shuffled.
-BROADCAST_PAIRS = 1 << 20
+#: Ids of candidate pairs are broadcast up to this counted number, so that the texts needn't be shuffled to find theirs.
+BROADCAST_IDS = 1 << 20
+#: Minima of a set and of a band, bits of its bitmap.
+MINIMA, BAND, BITMAP = 64, 4, 1024
 
 
-def verified(pairs: DataFrame, rows: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+def _mixed(n: int) -> np.ndarray:
+    """n fixed 64-bit numbers (the splitmix64 sequence)."""
+    z = (np.arange(1, n + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+_FLIP, _ODD = _mixed(2 * MINIMA)[:MINIMA], _mixed(2 * MINIMA)[MINIMA:] | np.uint64(1)
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least value of a set's hashes under each of MINIMA permutations of the 64-bit numbers, each a flip and an odd factor."""
+    out = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 4096):
+        out = np.minimum(out, ((h[i : i + 4096, None] ^ _FLIP) * _ODD).min(0))
+    return out
+
+
+def _set_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, day, n, same, bands, bits) of sets (id, day, sorted hashes)."""
+    for b in batches:
+        hashes = [np.array(g, np.int64).view(np.uint64) for g in b.column(2).to_pylist()]
+        m = np.array([minima(h) for h in hashes], np.uint64).reshape(b.num_rows, MINIMA // BAND, BAND)
+        bands = ((m * _ODD[:BAND]).sum(2, dtype=np.uint64) ^ _FLIP[: MINIMA // BAND]).view(np.int64)
+        parity = [np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).view(np.int64) for h in hashes]
+        longs = pa.list_(pa.int64())
+        cols = [b.column(0), b.column(1), pa.array([len(h) for h in hashes], pa.int32()), pa.array([hashlib.md5(h.tobytes()).hexdigest() for h in hashes]), pa.array(list(bands), longs), pa.array(parity, longs)]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "day", "n", "same", "bands", "bits"])
+
+
+def _shingle_hashes(text: Column, words: int) -> Column:
+    """Sorted distinct hashes of the text's word shingles; of all its words, if they are fewer; null or empty without words."""
+    w = X.dedup_tokens(text)
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " ")))
+    return F.when(F.size(w) > 0, F.array_sort(F.array_distinct(grams)))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of at least that Jaccard similarity.
 
-    rows: (id, n, sig), shingle counts and 64 minima cut to bytes; shingles: (id, g). Counts reject exactly; the minima
-    reject what agrees in 7 standard deviations less than a pair at the similarity (its chance below 1e-9). Only the
-    pairs left carry their shingle sets.
+    rows: (id, n, bits), shingle counts and parity bitmaps, two exact bounds: sets differ in at least as many shingles as their
+    bitmaps in bits. Shingles are made again from the texts (id, text), for pairs that the bounds leave alone.
     """
-    least = 64 * similarity - 7 * (64 * similarity * (1 - similarity)) ** 0.5
-    side = lambda c: rows.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(agree >= least).select("a", "b").checkpoint()
-    small = F.broadcast if near.count() <= BROADCAST_PAIRS else lambda df: df
-    late = shingles.select(F.col("id").alias("b"), F.col("g").alias("gb")).join(small(near), "b")
-    early = shingles.select(F.col("id").alias("a"), F.col("g").alias("ga")).join(small(near.select("a").distinct()), "a", "left_semi")
-    both = late.join(early, "a")
+    side = lambda c: rows.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}"))
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = F.least((F.col("na") + F.col("nb") - differ) / 2, F.least("na", "nb"))
+    near = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(most >= similarity * (F.col("na") + F.col("nb") - most) - 1e-9).select("a", "b"))
+    ids = cut(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = cut(texts.join(wanted, "id", "left_semi").select("id", _shingle_hashes(F.col("text"), words).alias("g")))
+    both = near.join(sets.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     same = F.size(F.array_intersect("ga", "gb"))
-    return both.where(same >= similarity * (F.size("ga") + F.size("gb") - same)).select("a", "b")
+    return both.where(same >= similarity * (F.size("ga") + F.size("gb") - same) - 1e-9).select("a", "b")
 
 
 def near_dup_keep(articles: DataFrame, id_col: str, text_col: str, date_col: str, words: int = 5, similarity: float = 0.86) -> DataFrame:
     """Ids kept by greedy near-duplicate removal, oldest first.
 
     Of equal shingle sets the oldest stands for all: what drops it drops its copies too. Candidates share one of 16 bands
-    of 4 minima of hashed shingles. A document that is the oldest open one of all its buckets is kept and drops what it
-    resembles in them, so a group of copies costs a comparison each; after `LEADER_ROUNDS` members still open are paired.
+    of 4 of 64 minima (a pair at 0.86 shares none with a chance of 3e-6, texts of any length). A document that is the oldest
+    open one of all its buckets is kept and drops what it resembles in them, so a group of copies costs a comparison each;
+    after `LEADER_ROUNDS` members still open are paired. Articles without words are all kept.
     """
-    spark = articles.sparkSession
-    if not spark.sparkContext.getCheckpointDir():  # the cluster's shared folder, else one that all its machines see
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    w = X.dedup_tokens(F.col(text_col))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, words), " "))))
-    tokens = articles.select(F.col(id_col).alias("id"), F.struct(date_col, id_col).alias("rank"), w.alias("w"))
-    # the shingle next to a point of the hash space is a uniform choice, as a minimum is, at the price of an XOR
-    point = lambda k: F.lit((k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)).cast("long")
-    minimum = lambda k: F.array_min(F.transform("g", lambda x: x.bitwiseXOR(point(k))))  # noqa: E731  (a second parameter of the inner lambda would be the index)
-    sets = tokens.where(F.size("w") > 0).select("id", "rank", F.array_sort(grams).alias("g")).select("*", F.array(*[minimum(k) for k in range(64)]).alias("m"))
-    bands = F.array(*[F.xxhash64(F.lit(b), F.slice("m", 4 * b + 1, 4)) for b in range(16)])
-    same_set = F.md5(F.array_join(F.transform("g", lambda x: x.cast("string")), ","))
-    base = sets.select("id", "rank", "g", F.size("g").alias("n"), bands.alias("bands"), F.transform("m", lambda x: F.shiftright(F.xxhash64(x), 56).cast("tinyint")).alias("sig"), same_set.alias("same")).checkpoint()
+    rows = articles.select(F.col(id_col).alias("id"), F.col(date_col).alias("day"), F.col(text_col).alias("text"))
+    sets = rows.select("id", "day", _shingle_hashes(F.col("text"), words).alias("g"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    base = sets.where("g is not null").mapInArrow(_set_features, f"id {kind['id']}, day {kind['day']}, n int, same string, bands array<bigint>, bits array<bigint>")
+    base = cut(base.select("id", F.struct("day", "id").alias("rank"), "n", "same", "bands", "bits"))
     oldest = base.groupBy("same").agg(F.min(F.struct("rank", "id")).alias("x")).select("x.id")
-    classes = base.select("id", "rank", "n", "bands", "sig").join(oldest, "id", "left_semi").checkpoint()
-    left, kept = classes, tokens.where(F.coalesce(F.size("w"), F.lit(0)) <= 0).select("id")
+    classes = cut(base.join(oldest, "id", "left_semi").drop("same"))
+    left, kept = classes, rows.where(F.coalesce(F.size(X.dedup_tokens(F.col("text"))), F.lit(0)) <= 0).select("id")
     for _ in range(LEADER_ROUNDS):
         members = left.select("id", "rank", F.explode("bands").alias("band"))
         heads = members.groupBy("band").agg(F.min(F.struct("rank", "id")).alias("h"))
-        met = members.join(heads, "band").groupBy("id").agg(F.collect_set("h.id").alias("heads")).checkpoint()
+        met = cut(members.join(heads, "band").groupBy("id").agg(F.collect_set("h.id").alias("heads")))
         sure = met.where((F.size("heads") == 1) & (F.col("heads")[0] == F.col("id"))).select("id")
         pairs = met.select(F.explode("heads").alias("a"), F.col("id").alias("b")).where("a <> b").join(sure.withColumnRenamed("id", "a"), "a", "left_semi")
-        decided = verified(pairs, classes, base, similarity).select(F.col("b").alias("id")).unionByName(sure)
+        decided = verified(pairs, classes, rows, words, similarity).select(F.col("b").alias("id")).unionByName(sure)
         kept = kept.unionByName(sure)
-        left = left.join(decided, "id", "left_anti").checkpoint()
+        left = cut(left.join(decided, "id", "left_anti"))
         if left.isEmpty():
             return kept
     members = left.select("id", F.explode("bands").alias("band"))
     pairs = members.withColumnRenamed("id", "a").join(members.withColumnRenamed("id", "b"), "band").where("a < b").select("a", "b").distinct()
-    return kept.unionByName(greedy_keep(left.select("id", "rank"), verified(pairs, classes, base, similarity)))
+    return kept.unionByName(greedy_keep(left.select("id", "rank"), verified(pairs, classes, rows, words, similarity)))
 
 
 def snap(value: str | None, allowed: Sequence[str], cutoff: float = 0.6) -> tuple[str | None, str]:

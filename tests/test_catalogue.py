@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidegraph.plans import batch, domain, extraction, graph, mentions, normalise, questions, search  # noqa: F401
+from tidegraph.plans import batch, domain, extraction, graph, ingest, mentions, normalise, questions, search  # noqa: F401
 from tidegraph.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

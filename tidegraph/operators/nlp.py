@@ -118,6 +118,14 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, si
     return both.where(same >= similarity * (F.size("ga") + F.size("gb") - same) - 1e-9).select("a", "b")
 
 
+def set_features(rows: DataFrame, words: int) -> DataFrame:
+    """(id, rank, n, same, bands, bits) of rows (id, day, text) with words: what near-duplicates are found and bounded by."""
+    sets = rows.select("id", "day", _shingle_hashes(F.col("text"), words).alias("g"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    base = sets.where("g is not null").mapInArrow(_set_features, f"id {kind['id']}, day {kind['day']}, n int, same string, bands array<bigint>, bits array<bigint>")
+    return base.select("id", F.struct("day", "id").alias("rank"), "n", "same", "bands", "bits")
+
+
 def near_dup_keep(articles: DataFrame, id_col: str, text_col: str, date_col: str, words: int = 5, similarity: float = 0.86) -> DataFrame:
     """Ids kept by greedy near-duplicate removal, oldest first.
 
@@ -127,10 +135,7 @@ def near_dup_keep(articles: DataFrame, id_col: str, text_col: str, date_col: str
     after `LEADER_ROUNDS` members still open are paired. Articles without words are all kept.
     """
     rows = articles.select(F.col(id_col).alias("id"), F.col(date_col).alias("day"), F.col(text_col).alias("text"))
-    sets = rows.select("id", "day", _shingle_hashes(F.col("text"), words).alias("g"))
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    base = sets.where("g is not null").mapInArrow(_set_features, f"id {kind['id']}, day {kind['day']}, n int, same string, bands array<bigint>, bits array<bigint>")
-    base = cut(base.select("id", F.struct("day", "id").alias("rank"), "n", "same", "bands", "bits"))
+    base = cut(set_features(rows, words))
     oldest = base.groupBy("same").agg(F.min(F.struct("rank", "id")).alias("x")).select("x.id")
     classes = cut(base.join(oldest, "id", "left_semi").drop("same"))
     left, kept = classes, rows.where(F.coalesce(F.size(X.dedup_tokens(F.col("text"))), F.lit(0)) <= 0).select("id")

@@ -87,9 +87,10 @@ def rank_score(query: Sequence[float], as_of: Column, half_life: float = 5.0, se
     return semantic * sim + recent * F.coalesce(F.exp(-F.log(F.lit(2.0)) * age / half_life), F.lit(0.8))
 
 
-def rank_rows(rows: DataFrame, score: Column) -> DataFrame:
-    """One row a chunk, its best score first."""
-    return top_per_key(rows.where("chunk_id is not null").withColumn("score", score), ["chunk_id"], [F.desc("score")]).orderBy(F.desc("score"), "chunk_id")
+def rank_rows(rows: DataFrame, score: Column, order: str | None = None) -> DataFrame:
+    """One row a chunk, its best score first; of equal scores the first by the column `order`, if rows have one."""
+    ties = [F.col(order)] if order else []
+    return top_per_key(rows.where("chunk_id is not null").withColumn("score", score), ["chunk_id"], [F.desc("score"), *ties]).orderBy(F.desc("score"), *ties, "chunk_id")
 
 
 def summary_chunks(rows: DataFrame, query: Sequence[float], as_of: Column, newest: int = 300, k: int = 24, days: float = 2.0) -> DataFrame:

@@ -86,8 +86,8 @@ def citation_grounding(t):
     return t.benchmark.select("item_id", F.array_join(g["used"], ",").alias("used"), g["count"].cast("long").alias("n"))
 
 
-@query(r"""select conv_id, turn, regexp_replace(text, '\b(they|it|the company|their|its|the firm|the stock|the brand|this company|this stock|that company|that stock|the entity|this entity)\b', 'Acme $1', 'gi') as rewritten
-  from conversations where turn > 0 union all select conv_id, turn, text from conversations where turn = 0""")
+@query(f"""select conv_id, turn, regexp_replace(text, '{R.REFERENCES}', 'Acme $1', 'g') as rewritten from conversations where turn > 0
+  union all select conv_id, turn, text from conversations where turn = 0""")
 def coreference(t):
     """References replaced by the entity that the first turn of each conversation names."""
     none = F.lit(None).cast("date")

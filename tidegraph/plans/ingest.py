@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegraph.operators import gate
+from tidegraph.operators import pages as P
 from tidegraph.plans.catalogue import BARE, WORDS, query
 
 NOW = "2024-05-06 07:08:09"
@@ -25,3 +26,14 @@ def article_gate(t):
     skip = t.embeddings.where("label = 0").select(F.col("vec_id").alias("article_id"))
     out = gate.article_gate(rows, F.lit(NOW), skip, near=False)
     return out.select("doc_id", "article_id", "content_hash", F.date_format("published_ts", "yyyy-MM-dd").alias("day"), "period_key")
+
+
+_PLAIN = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+@query(rf"""select page_id, sha256(regexp_replace({_PLAIN.format("regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g')")}, '[\s]+', '', 'g')) as text,
+  trim(regexp_replace({_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) as title from pages""")
+def page_content(t):
+    """The main text of every page, white space aside, and its title: no navigation, advertisement, script or footer."""
+    c = P.main_content(t.pages)
+    return c.select("page_id", F.sha2(F.regexp_replace("text", r"\s+", "").cast("binary"), 256).alias("text"), "title")

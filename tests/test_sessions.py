@@ -1,7 +1,10 @@
 """Sessions as a stream: any order of arrival, over restarts, gives what the table gives and what windows give."""
 
+import hashlib
 import random
 
+import pandas as pd
+
 from tidegraph.operators import retrieval as R
 from tidegraph.streaming import sessions as S
 
@@ -64,3 +67,32 @@ def test_saved_sessions_go_on(spark, tmp_path):
     want = [r for r in collected(S.session_turns(spark.createDataFrame(rows, SCHEMA)).collect()) if r[1] >= 7]
     assert want and collected(S.session_turns(spark.createDataFrame(rest, SCHEMA), saved).collect()) == want
     assert S.session_turns(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_digests_of_a_long_session(spark):
+    """Digests are those of the texts, and a session's rows are handed on while it goes on, not held until its end."""
+    rows = [("s", i, "q", "c", f"Name {i} é", "ORG", "2024-01-02", None, "a") for i in range(900)]
+    table = spark.createDataFrame(random.Random(3).sample(rows, len(rows)), SCHEMA)
+    sha = lambda c: hashlib.sha256(c.encode()).hexdigest()
+    texts = {r.turn_index: (sha(r.history), sha(r.summary)) for r in S.session_turns(table).collect()}
+    assert {r.turn_index: (r.history, r.summary) for r in S.session_turns(table, digests=True).collect()} == texts and len(texts) == 900
+    other = lambda prior, turns: f"{len(turns)} after {len(prior)}"
+    texts = {r.turn_index: (sha(r.history), sha(r.summary)) for r in S.session_turns(table, summarise=other).collect()}
+    assert {r.turn_index: (r.history, r.summary) for r in S.session_turns(table, summarise=other, digests=True).collect()} == texts
+
+
+def test_rows_are_handed_on_in_bounded_batches():
+    class Value:
+        def exists(self):
+            return False
+
+        def update(self, *_):
+            pass
+
+        put = updateValue = update
+
+    p = S.SessionProcessor()
+    p.head = p.recent = p.early = Value()
+    turns = pd.DataFrame([(i, "q", "c", "n" * 200, "ORG", None, None, "a") for i in range(3000)], columns=S._FIELDS)
+    sizes = [sum(map(len, b["history"])) + sum(map(len, b["summary"])) for b in p.handleInputRows(("s",), iter([turns]), None)]
+    assert len(sizes) > 10 and max(sizes) < 2 * S.OUTPUT_CHARS + 2_000_000

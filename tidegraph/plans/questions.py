@@ -69,4 +69,4 @@ def session_memory(t):
         (n % 7).alias("session_id"), at.alias("turn_index"), asked.alias("query"), name.alias("canonical_name"), name.alias("display_name"), F.lit("ORG").alias("entity_type"),
         F.when(k % 3 == 0, F.concat(F.lit("2024-01-0"), (1 + n % 9).cast("string"))).alias("date_start"), F.when(k % 6 == 0, "2024-02-01").alias("date_end"), text.alias("answer"),
     )
-    return S.session_turns(turns).select("session_id", "turn_index", "rewritten", "start", "end", "kept", F.sha2(F.col("history").cast("binary"), 256).alias("history"))
+    return S.session_turns(turns, digests=True).select("session_id", "turn_index", "rewritten", "start", "end", "kept", "history")

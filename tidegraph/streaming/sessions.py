@@ -7,6 +7,7 @@ have come.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
@@ -20,6 +21,8 @@ from tidegraph.operators.retrieval import REFERENCES, SAME_PERIOD
 
 # Turns kept before the older ones are compressed, kept then, and shown; characters of an answer kept
 MOST_TURNS, RECENT_TURNS, SHOWN_TURNS, ANSWER_CHARS = 8, 3, 3, 300
+#: Characters of histories and summaries that a task holds before it hands its rows on.
+OUTPUT_CHARS = 1 << 22
 
 TURN = "turn_index int, query string, canonical_name string, display_name string, entity_type string, date_start string, date_end string, answer string"
 OUTPUT = "session_id string, turn_index int, rewritten string, start string, end string, history string, kept int, summary string"
@@ -32,6 +35,38 @@ def plain_summary(prior: str, turns: list[dict]) -> str:
     return "\n".join([*([prior] if prior else []), *lines])
 
 
+_TITLE, _EARLIER = "[CONVERSATION HISTORY]", "Earlier in this session: "
+
+
+class Digests:
+    """SHA-256 digests of a session's summary and history. What a summary adds to the one before is hashed once, so that
+    turns cost the same however long their session is; a summary that is no continuation is hashed anew."""
+
+    def __init__(self) -> None:
+        self._hashed, self._summary, self._history = "", hashlib.sha256(), hashlib.sha256(f"{_TITLE}\n{_EARLIER}".encode())
+
+    def _follow(self, summary: str) -> None:
+        if summary is not self._hashed:
+            if not summary.startswith(self._hashed):
+                self.__init__()
+            more = summary[len(self._hashed) :].encode()
+            self._summary.update(more)
+            self._history.update(more)
+            self._hashed = summary
+
+    def summary(self, s: Session) -> str:
+        self._follow(s.summary)
+        return self._summary.hexdigest()
+
+    def history(self, s: Session) -> str:
+        if not s.summary:
+            return hashlib.sha256(s.history().encode()).hexdigest()
+        self._follow(s.summary)
+        h = self._history.copy()
+        h.update("".join(f"\n{x}" for x in s.shown()).encode())
+        return h.hexdigest()
+
+
 @dataclass
 class Session:
     """What a session remembers; `step` takes its next turn."""
@@ -54,19 +89,24 @@ class Session:
         own = (turn["date_start"], turn["date_end"])
         return (self.date_start, self.date_end) if not any(own) and re.search(SAME_PERIOD, turn["query"] or "") else own
 
-    def history(self) -> str:
-        """The block that is put before the next question."""
-        lines = [f"Earlier in this session: {self.summary}"] if self.summary else []
+    def shown(self) -> list[str]:
+        """The lines of the turns that are shown before the next question."""
+        lines = []
         for t in self.turns[-SHOWN_TURNS:]:
             period = f"{t['date_start']} -> {t['date_end']}" if t["date_start"] or t["date_end"] else "no time filter"
             lines.append(f"Turn {t['turn_index'] + 1}: Asked about {t['display_name'] or 'general query'} ({period}): {t['answer'] or ''}")
-        return "\n".join(["[CONVERSATION HISTORY]", *lines]) if lines else ""
+        return lines
 
-    def step(self, turn: dict, summarise: Callable[[str, list[dict]], str]) -> dict:
+    def history(self) -> str:
+        """The block that is put before the next question."""
+        lines = [*([f"{_EARLIER}{self.summary}"] if self.summary else []), *self.shown()]
+        return "\n".join([_TITLE, *lines]) if lines else ""
+
+    def step(self, turn: dict, summarise: Callable[[str, list[dict]], str], digests: Digests | None = None) -> dict:
         """What the turn is answered with: the rewritten query, its period, the history before it; then the turn is recorded,
         and beyond MOST_TURNS all but the last RECENT_TURNS go into the summary."""
         start, end = self.period(turn)
-        out = {"turn_index": turn["turn_index"], "rewritten": self.rewritten(turn["query"]), "start": start, "end": end, "history": self.history()}
+        out = {"turn_index": turn["turn_index"], "rewritten": self.rewritten(turn["query"]), "start": start, "end": end, "history": digests.history(self) if digests else self.history()}
         self.turns.append({**turn, "answer": (turn["answer"] or "")[:ANSWER_CHARS]})
         if turn["canonical_name"]:
             self.canonical_name, self.entity_type, self.display_name = turn["canonical_name"], turn["entity_type"], turn["display_name"]
@@ -76,7 +116,7 @@ class Session:
             self.summary = summarise(self.summary, self.turns[:-RECENT_TURNS])
             self.turns = self.turns[-RECENT_TURNS:]
         self.next += 1
-        return out | {"kept": len(self.turns), "summary": self.summary}
+        return out | {"kept": len(self.turns), "summary": digests.summary(self) if digests else self.summary}
 
 
 _FIELDS = [c.split()[0] for c in TURN.split(", ")]
@@ -90,8 +130,8 @@ def _row(values: dict, names: list[str]) -> tuple:
 class SessionProcessor(StatefulProcessor):
     """Keeps a `Session` a key: its head as a value, recent turns as a list, turns that came too early by their index."""
 
-    def __init__(self, summarise: Callable[[str, list[dict]], str] = plain_summary):
-        self.summarise = summarise
+    def __init__(self, summarise: Callable[[str, list[dict]], str] = plain_summary, digests: bool = False):
+        self.summarise, self.digests = summarise, digests
 
     def init(self, handle) -> None:
         self.head = handle.getValueState("head", MEMORY)
@@ -108,22 +148,26 @@ class SessionProcessor(StatefulProcessor):
         s = Session()
         if self.head.exists():
             s = Session(**dict(zip(_HEAD, self.head.get(), strict=True)), turns=[dict(zip(_FIELDS, t, strict=True)) for t in self.recent.get()] if self.recent.exists() else [])
-        out, waiting = [], {}
+        digests, early = Digests() if self.digests else None, self.early.exists()
+        names = [c.split()[0] for c in OUTPUT.split(", ")]
+        out, held, waiting = [], 0, {}
         for batch in rows:
-            for r in batch.to_dict("records"):
-                t = _row(r, _FIELDS)
+            for r in batch.itertuples(index=False):
+                t = _row(r._asdict(), _FIELDS)
                 if t[0] is not None and t[0] >= s.next:  # a turn that came before is not taken twice
                     waiting.setdefault(t[0], t)
-        while True:
-            i = s.next
-            if i in waiting:
-                t = waiting.pop(i)
-            elif self.early.containsKey((i,)):
-                t = self.early.getValue((i,))
-                self.early.removeKey((i,))
-            else:
-                break
-            out.append({"session_id": str(key[0]), **s.step(dict(zip(_FIELDS, t, strict=True)), self.summarise)})
+                while s.next in waiting or (early and self.early.containsKey((s.next,))):
+                    i = s.next
+                    if i in waiting:
+                        t = waiting.pop(i)
+                    else:
+                        t = self.early.getValue((i,))
+                        self.early.removeKey((i,))
+                    out.append({"session_id": str(key[0]), **s.step(dict(zip(_FIELDS, t, strict=True)), self.summarise, digests)})
+                    held += len(out[-1]["history"]) + len(out[-1]["summary"])
+                    if held > OUTPUT_CHARS:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
         for i, t in waiting.items():
             if not self.early.containsKey((i,)):
                 self.early.updateValue((i,), t)
@@ -131,23 +175,27 @@ class SessionProcessor(StatefulProcessor):
         if s.turns:
             self.recent.put([_row(t, _FIELDS) for t in s.turns])
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+            yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass
 
 
-def session_turns(turns: DataFrame, saved: DataFrame | None = None, summarise: Callable[[str, list[dict]], str] = plain_summary) -> DataFrame:
+def session_turns(turns: DataFrame, saved: DataFrame | None = None, summarise: Callable[[str, list[dict]], str] = plain_summary, digests: bool = False) -> DataFrame:
     """(session_id, turn_index, rewritten, start, end, history, kept, summary) of every turn, over a stream or a table.
 
     kept: turns that stay verbatim after it. Repeated turn indexes count once, the first seen; a gap holds back what comes
     after it. saved (session_id, memory struct of `load_sessions`) are sessions that go on. A stream needs the RocksDB state store.
+    A table's turns come to their session in order, so that none waits. Histories and summaries repeat all that was said before;
+    with digests, they are given as SHA-256 digests (lowercase hex of UTF-8), whose rows don't grow with their session.
     """
     rows = turns.select(F.col("session_id").cast("string").alias("session_id"), *[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in TURN.split(", ")])
     first = saved.select("session_id", *_HEAD, "turns").groupBy("session_id") if saved is not None else None
     if not turns.isStreaming:
         _ = turns.sparkSession.streams.active  # the state stores' coordinator starts with the session's stream manager
-    return rows.groupBy("session_id").transformWithStateInPandas(SessionProcessor(summarise), OUTPUT, "append", "none", first)
+        parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as the state's, so that rows aren't dealt again
+        rows = rows.repartition(parts, "session_id").sortWithinPartitions("session_id", "turn_index")
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionProcessor(summarise, digests), OUTPUT, "append", "none", first)
 
 
 def final_sessions(turns: DataFrame, summarise: Callable[[str, list[dict]], str] = plain_summary) -> DataFrame:

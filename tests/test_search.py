@@ -3,6 +3,7 @@
 import datetime
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidegraph.functions import intents as I
@@ -73,3 +74,36 @@ def test_stream_equals_batch(spark, tmp_path):
     run = counts.period_counts(stream, "id", "at", "source").writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted(map(tuple, spark.table("counted").collect())) == [("2024-01", "x", 2), ("2024-01", "y", 1)]
+
+
+def test_best_matches_prunes_exactly(spark):
+    """Against all pairs: ties by copies, conditions, gaps; hardly any pair has its words compared."""
+    import random
+    import re
+
+    import numpy as np
+
+    from tidegraph.operators import batch_search as B
+
+    rng, r = np.random.default_rng(4), random.Random(4)
+    texts = [" ".join(f"word{r.randrange(60)}" for _ in range(12)) for _ in range(300)]
+    vecs = rng.normal(size=(300, 8)).round(2).tolist()
+    rows = [(i, texts[i % 300], vecs[i % 300] if i % 11 else None, datetime.date(2024, 1, 1 + i % 28) if i % 5 else None, f"p{i % 3}", f"s{i % 4}") for i in range(900)]
+    asks = [(i, texts[-1 - i] if i % 7 else None, rng.normal(size=8).tolist() if i % 9 else None, ["p0", "p2"] if i % 4 == 0 else None, datetime.date(2024, 1, 9) if i % 3 == 0 else None, None, "s1" if i % 5 == 0 else None) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string, embedding array<double>, published date, period_key string, source string")
+    questions = spark.createDataFrame(asks, "question_id long, text string, vector array<double>, periods array<string>, start date, end date, source string")
+    got = {}
+    for x in B.best_matches(chunks, questions, 5).collect():
+        got.setdefault(x.question_id, []).append((-round(x.score, 9), x.chunk_id))
+    for q, text, v, periods, start, _, source in asks:
+        words = set(re.findall("[a-z0-9]{3,}", text or ""))
+        want = []
+        for i, t, e, day, p, s in rows:
+            if e is None or (periods and p not in periods) or (start and (day is None or day < start)) or (source and s != source):
+                continue
+            cos = float(np.dot(v, e) / np.linalg.norm(v) / np.linalg.norm(e)) if v else 0.0
+            want.append((-round(0.85 * cos + 0.15 * len(words & set(t.split())) / max(len(words), 1), 9), i))
+        assert sorted(got[q]) == sorted(want)[:5]
+    asked = B.Asked(questions.withColumn("words", B._words(F.col("text"))).collect())
+    held = asked.held(pa.array([[int(w) for w in asked.number[:3]], []], pa.list_(pa.int64())))
+    assert held.sum() == 3 and asked.overlap(held, np.array([0, 1]), np.array([1, 1])).tolist() == [0, 0]

@@ -44,3 +44,18 @@ def test_gold(spark):
     parsed = A.read_answer(F.coalesce("answer", F.lit("")), known)
     got = {r.id: r.x for r in df.select("id", E.gold_failures(parsed, F.col("answer"), F.col("gold")).alias("x")).collect()}
     assert got == {0: ["direction", "confidence_cap"], 1: ["mechanisms", "counterarguments", "overclaim"], 2: [], 3: ["direction", "counterarguments"]}
+
+
+def test_each_question_is_read_once(spark, monkeypatch):
+    """Repeated and null questions have the periods of their own text; the grammar sees different ones only."""
+    asks = ["What moved in March 2024?", None, "since 2024-01-02", "compare Q1 2023 with Q2 2024", "", "from May 2023 to June 2023"]
+    rows = spark.createDataFrame([(i, asks[i % len(asks)]) for i in range(60)], "i int, q string")
+    today = F.lit("2024-06-14").cast("date")
+    want = {r.i: r.r for r in rows.select("i", E.sub_queries(F.col("q"), today).alias("r")).collect()}
+    for most in (E.BROADCAST_QUESTIONS, 0):
+        monkeypatch.setattr(E, "BROADCAST_QUESTIONS", most)
+        assert {r.i: r.ranges for r in E.with_sub_queries(rows, "q", today).collect()} == want and len(want) == 60
+    seen = []
+    monkeypatch.setattr(E, "cut", lambda df: seen.append(df.count()) or df)
+    E.with_sub_queries(rows, "q", today)
+    assert seen == [len(asks)]

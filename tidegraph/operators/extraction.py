@@ -12,10 +12,13 @@ from tidegraph.functions import intents as I
 from tidegraph.functions import temporal as D
 from tidegraph.functions import text as X
 from tidegraph.operators import answers as A
+from tidegraph.operators.core import cut
 from tidegraph.operators.retrieval import review_reasons
 
 # Queue names, words that ask for several periods
 RETRY_QUEUE, REVIEW_QUEUE = "retry_failed", "review_suspicious"
+#: Different questions whose periods are broadcast up to this counted number.
+BROADCAST_QUESTIONS = 1 << 18
 MULTI_TIME_WORDS = r"(?i)\b(compare|vs\.?|versus|differ)\b"
 
 EVENTS = "events array<struct<event_type string, evidence_spans array<string>, asset_impacts array<string>, channels array<string>>>"
@@ -146,3 +149,15 @@ def sub_queries(question: Column, today: Column) -> Column:
         )
 
     return T.let(F.coalesce(T.expressions(question), F.array().cast("array<string>")), split)
+
+
+def with_sub_queries(rows: DataFrame, question: str, today: Column, out: str = "ranges") -> DataFrame:
+    """rows with the `sub_queries` of their question, by one today for all; each different question is read once.
+
+    The grammar tries some forty patterns on each phrase, so questions are counted out first and their periods joined back.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = rows.select(F.col(question).alias("_asked")).distinct().repartition(n)  # a few kilobytes of questions are work for many tasks
+    read = cut(asked.select("_asked", sub_queries(F.col("_asked"), today).alias(out)))
+    small = read.count() <= BROADCAST_QUESTIONS
+    return rows.join(F.broadcast(read) if small else read, F.col(question).eqNullSafe(F.col("_asked")), "left").drop("_asked")

@@ -31,7 +31,7 @@ def question_time_ranges(t):
         F.dayofmonth(day).alias("d"), F.quarter(day).alias("q"), (1 + F.col("o_custkey") % 50).alias("n"),
     )
     asked = parts.withColumn("question", F.concat(F.lit("What moved prices of "), "o_orderstatus", F.lit(" "), F.expr(_FORMS), F.lit("?")))
-    found = asked.select("o_orderkey", F.element_at(E.sub_queries(F.col("question"), F.lit(TODAY).cast("date")), 1).alias("r"))
+    found = E.with_sub_queries(asked.select("o_orderkey", "question"), "question", F.lit(TODAY).cast("date")).select("o_orderkey", F.element_at("ranges", 1).alias("r"))
     return found.select("o_orderkey", F.col("r.start").alias("start_day"), F.col("r.end").alias("end_day"))
 
 

@@ -107,3 +107,35 @@ def test_best_matches_prunes_exactly(spark):
     asked = B.Asked(questions.withColumn("words", B._words(F.col("text"))).collect())
     held = asked.held(pa.array([[int(w) for w in asked.number[:3]], []], pa.list_(pa.int64())))
     assert held.sum() == 3 and asked.overlap(held, np.array([0, 1]), np.array([1, 1])).tolist() == [0, 0]
+
+
+def test_summary_pools_against_brute_force(spark, monkeypatch):
+    """Questions meet their pool's rows in their own task, over several blocks of pools: gaps, ties, sources."""
+    import numpy as np
+
+    from tidegraph.operators import batch_search as B
+
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(20, 4)).tolist()
+    rows = [(i, i % 6, vecs[i % 20] if i % 7 else None, datetime.date(2024, 1, 1 + i % 20) if i % 5 else None, "p", (None, "", "A", " a ", "b")[i % 5]) for i in range(120)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, article_id long, embedding array<double>, published date, period_key string, source string")
+    asks = [(q, vecs[q] if q % 4 else None, None, datetime.date(2024, 1, 2 + q % 5) if q % 3 else None, None, None) for q in range(15)]
+    questions = spark.createDataFrame(asks, "question_id long, vector array<double>, periods array<string>, start date, end date, source string")
+    monkeypatch.setattr(B, "POOL_BLOCK", 2)
+    found = B.summary_candidates(questions, chunks, F.lit("2024-01-25").cast("date"), newest=30, k=7)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs were joined, with both vectors
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.question_id, set()).add((r.chunk_id, r.article_id, r.source, r.published, round(r.score, 9), r.kind))
+    for q, v, _, start, _, _ in asks:
+        pool = sorted((r for r in rows if not start or (r[3] and r[3] >= start)), key=lambda r: (r[3] is None, -(r[3].toordinal() if r[3] else 0), r[0]))[:30]
+        cos = lambda e: np.dot(v, e) / np.linalg.norm(v) / np.linalg.norm(e) if v and e else 0.0  # noqa: E731, B023
+        score = lambda r: -round(float(0.7 * cos(r[2]) + (0.3 * np.exp(-(25 - r[3].day) / 2.0) if r[3] else 0)), 9)  # noqa: E731, B023
+        scored = sorted(((score(r), r[0], r) for r in pool), key=lambda x: x[:2])
+        seen, want = set(), set()
+        for s, _, r in scored:
+            outlet = (r[5] or "unknown").strip().lower()
+            if len(want) < 7:
+                want.add((r[0], r[1], r[5], r[3], -s, "summary_recency_semantic" if outlet in seen else "summary_diverse_source"))
+            seen.add(outlet)
+        assert got[q] == want

@@ -139,3 +139,14 @@ def test_summary_pools_against_brute_force(spark, monkeypatch):
                 want.add((r[0], r[1], r[5], r[3], -s, "summary_recency_semantic" if outlet in seen else "summary_diverse_source"))
             seen.add(outlet)
         assert got[q] == want
+
+
+def test_a_chunk_is_split_once_for_all_its_entities(spark):
+    rows = [(1, f"E{i}", f"name{i}", i, "p") for i in range(40)] + [(2, "E1", "name1", 0, "p"), (3, "e2", None, 0, "p")]
+    mentions = spark.createDataFrame(rows, "chunk_id long, entity_id string, display_name string, ord int, period_key string")
+    text = " ".join(f"Of Name{i}! Again NAME{i} here. Name{i}? Name{i} once more." for i in range(40, -1, -1))
+    units = S.knowledge_units(mentions, spark.createDataFrame([(1, text), (2, None), (3, "Nothing said.")], "chunk_id long, text string"))
+    got = {(r.chunk_id, r.kn_uid): r.text for r in units.collect()}
+    assert len(got) == 42 and got[1, "e7::p"] == "Of Name7! Again NAME7 here. Name7?" and got[2, "e1::p"] is None and got[3, "e2::p"] == "Nothing said."
+    plan = units._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and plan.index("Generate explode") < plan.index("Join Inner")  # the text is joined a chunk, not a mention

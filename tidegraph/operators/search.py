@@ -7,6 +7,7 @@ entity_id; events: event_id, chunk_id, confidence, period_key; vectors: chunk_id
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import text as X
 from tidegraph.functions import vectors as V
+from tidegraph.functions.dates import let
 from tidegraph.operators.core import neighbours, top_per_key
 
 
@@ -192,13 +194,23 @@ def knowledge_units(mentions: DataFrame, chunks: DataFrame, fallback: int = 500)
     tickers are.
     """
     first = top_per_key(mentions, ["entity_id", "period_key", "chunk_id"], [F.col("ord")])
-    rows = first.join(chunks.select("chunk_id", "text"), "chunk_id")
     name = F.col("entity_id").cast("string")
-    uid = node_uid(name, F.col("period_key"))
     terms = [F.col(c) for c in ("raw_name", "display_name") if c in mentions.columns] + [F.when((F.upper(name) != name) | (F.lower(name) == name), name)]
-    said = F.array_join(X.relevant_sentences(F.col("text"), *terms), " ")
-    text = F.when(said != "", said).otherwise(F.substring("text", 1, fallback))
-    return rows.select(F.substring(F.md5(F.concat(uid, F.lit("::"), F.col("chunk_id").cast("string")).cast("binary")), 1, 16).alias("knowledge_uid"), uid.alias("kn_uid"), "chunk_id", "ord", text.alias("text"))
+    named = F.struct(node_uid(name, F.col("period_key")).alias("kn_uid"), "ord", *[F.nullif(F.lower(t), F.lit("")).alias(f"t{i}") for i, t in enumerate(terms)])
+    # a chunk's text meets all its entities at once, so that it is dealt, split and put into lower case once
+    rows = first.groupBy("chunk_id").agg(F.collect_list(named).alias("named")).join(chunks.select("chunk_id", "text"), "chunk_id")
+
+    def unit(m: Column, said: Column, low: Column) -> Column:
+        holds = lambda s: reduce(Column.__or__, [F.coalesce(F.contains(s, m[f"t{i}"]), F.lit(False)) for i in range(len(terms))])
+        text = F.array_join(F.slice(F.filter(said, lambda _, i: holds(F.get(low, i))), 1, 3), " ")
+        return F.struct(m["kn_uid"].alias("kn_uid"), m["ord"].alias("ord"), text.alias("said"))
+
+    units = let(X.sentences(F.col("text")), lambda said: let(F.transform(said, F.lower), lambda low: F.transform("named", lambda m: unit(m, said, low))))
+    bare = F.transform("named", lambda m: F.struct(m["kn_uid"].alias("kn_uid"), m["ord"].alias("ord"), F.lit(None).cast("string").alias("said")))
+    rows = rows.select("chunk_id", F.substring("text", 1, fallback).alias("start"), F.explode(F.when(F.col("text").isNull(), bare).otherwise(units)).alias("u"))
+    text = F.when(F.col("u.said") != "", F.col("u.said")).otherwise(F.col("start"))
+    uid = F.col("u.kn_uid")
+    return rows.select(F.substring(F.md5(F.concat(uid, F.lit("::"), F.col("chunk_id").cast("string")).cast("binary")), 1, 16).alias("knowledge_uid"), uid.alias("kn_uid"), "chunk_id", F.col("u.ord").alias("ord"), text.alias("text"))
 
 
 def node_descriptions(units: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import intents as I
 from tidegraph.functions import text as X
-from tidegraph.operators.core import top_per_key
+from tidegraph.operators.core import cut, top_per_key
 from tidegraph.operators.linking import link_mentions
 from tidegraph.operators.search import drop_person_singletons
 
@@ -170,8 +170,9 @@ def extract_mentions(chunks: DataFrame, dictionary: DataFrame, people: DataFrame
     if people is not None:
         rows = rows.unionByName(people.select("alias", F.lit("PER").alias("label"), F.lit(2).alias("rank")))
     rows = top_per_key(rows, ["alias"], [F.col("rank"), F.col("label")]).select("alias", "label")
-    spans = gazetteer_spans(chunks, rows).join(rows, "alias").select("chunk_id", F.col("at").alias("ord"), "start", "end", "raw_name", "label")
-    found = resolve_mentions(spans, dictionary)
+    # spans and links are read several times below; each reading would walk all texts again
+    spans = cut(gazetteer_spans(chunks, rows).join(rows, "alias").select("chunk_id", F.col("at").alias("ord"), "start", "end", "raw_name", "label"))
+    found = cut(resolve_mentions(spans, dictionary))
     return drop_person_singletons(found.withColumn("entity_id", F.col("canonical_name")), least_chunks).drop("entity_id")
 
 

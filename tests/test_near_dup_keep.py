@@ -3,9 +3,12 @@
 import datetime
 import random
 import re
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tidegraph.functions import text as X
 from tidegraph.operators import nlp
 
 
@@ -57,3 +60,20 @@ def test_minima_are_independent():
         agree.append(int((nlp.minima(h) == nlp.minima(h[:7])).sum()))
     assert abs(np.mean(agree) / 64 - 7 / 8) < 0.005
     assert abs(np.var(agree) / (64 * 7 / 64) - 1) < 0.15
+
+
+def test_words_of_a_long_text_are_split_once(spark):
+    """Texts of 20,000 words, which took minutes while the words were split off again for each shingle."""
+    rows = [(i, datetime.date(2024, 1, 1), " ".join(f"{i}.{k}" for k in range(20_000))) for i in range(8)] + [(8, datetime.date(2024, 1, 1), "\u212aelvin, two!"), (9, datetime.date(2024, 1, 1), None), (10, datetime.date(2024, 1, 1), "\u00e9")]
+    began = time.time()
+    got = {r.id: r.n for r in nlp.set_features(spark.createDataFrame(rows, "id long, day date, text string"), 5).collect()}
+    assert got == dict.fromkeys(range(8), 19_996) | {8: 1}
+    assert time.time() - began < 40
+
+
+def test_hashes_are_those_of_kept_indices(spark):
+    """XXH64 of the words of `dedup_tokens`, joined: an index that was written before is still good."""
+    text = "\u212aelvin \u0130 A-b $5, caf\u00e9_x. seven, eight nine"
+    low, w = spark.createDataFrame([(text,)], "t string").select(F.lower("t").cast("binary"), X.dedup_tokens(F.col("t"))).first()
+    grams = spark.createDataFrame([(" ".join(w[i : i + 5]),) for i in range(len(w) - 4)], "g string").select(F.xxhash64("g").alias("h")).collect()
+    assert nlp._shingle_hashes(bytes(low), 5).view(np.int64).tolist() == sorted({r.h for r in grams}, key=lambda h: h % 2**64)

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,28 +77,36 @@ _FLIP, _ODD = _mixed(2 * MINIMA)[:MINIMA], _mixed(2 * MINIMA)[MINIMA:] | np.uint
 def minima(h: np.ndarray) -> np.ndarray:
     """The least value of a set's hashes under each of MINIMA permutations of the 64-bit numbers, each a flip and an odd factor."""
     out = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 4096):
-        out = np.minimum(out, ((h[i : i + 4096, None] ^ _FLIP) * _ODD).min(0))
+    for i in range(0, len(h), 1024):
+        x = h[None, i : i + 1024] ^ _FLIP[:, None]
+        x *= _ODD[:, None]
+        out = np.minimum(out, x.min(1))
     return out
 
 
-def _set_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, day, n, same, bands, bits) of sets (id, day, sorted hashes)."""
-    for b in batches:
-        hashes = [np.array(g, np.int64).view(np.uint64) for g in b.column(2).to_pylist()]
-        m = np.array([minima(h) for h in hashes], np.uint64).reshape(b.num_rows, MINIMA // BAND, BAND)
-        bands = ((m * _ODD[:BAND]).sum(2, dtype=np.uint64) ^ _FLIP[: MINIMA // BAND]).view(np.int64)
-        parity = [np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).view(np.int64) for h in hashes]
-        longs = pa.list_(pa.int64())
-        cols = [b.column(0), b.column(1), pa.array([len(h) for h in hashes], pa.int32()), pa.array([hashlib.md5(h.tobytes()).hexdigest() for h in hashes]), pa.array(list(bands), longs), pa.array(parity, longs)]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "day", "n", "same", "bands", "bits"])
+_WORD = re.compile(X.DEDUP_TOKEN.encode())
 
 
-def _shingle_hashes(text: Column, words: int) -> Column:
-    """Sorted distinct hashes of the text's word shingles; of all its words, if they are fewer; null or empty without words."""
-    w = X.dedup_tokens(text)
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " ")))
-    return F.when(F.size(w) > 0, F.array_sort(F.array_distinct(grams)))
+def _shingle_hashes(low: bytes, words: int) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of the word shingles of a lower-cased text; of all its words, if they are fewer; none without words."""
+    w = _WORD.findall(low)
+    grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) > words else [b" ".join(w)] if w else []
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(g, 42) for g in grams]), ">u8").astype(np.uint64))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of batches whose last column is a lower-cased text in bytes, without the rows that have no words, and their shingles' hashes."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 256):
+            b = whole.slice(i, 256)
+            found = [_shingle_hashes(t.as_py() or b"", words) for t in b.column(b.num_columns - 1)]
+            if any(map(len, found)):
+                yield b.filter(pa.array([len(h) > 0 for h in found])), [h for h in found if len(h)]
+
+
+def _bytes(text: Column) -> Column:
+    """What `_hashed` reads: Spark lower-cases, as it does for `dedup_tokens`."""
+    return F.lower(text).cast("binary")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -112,7 +121,13 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, si
     near = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(most >= similarity * (F.col("na") + F.col("nb") - most) - 1e-9).select("a", "b"))
     ids = cut(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = cut(texts.join(wanted, "id", "left_semi").select("id", _shingle_hashes(F.col("text"), words).alias("g")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _hashed(batches, words):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["id", "g"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    sets = cut(texts.join(wanted, "id", "left_semi").select("id", _bytes(F.col("text")).alias("text")).mapInArrow(run, f"id {kind}, g array<bigint>"))
     both = near.join(sets.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     same = F.size(F.array_intersect("ga", "gb"))
     return both.where(same >= similarity * (F.size("ga") + F.size("gb") - same) - 1e-9).select("a", "b")
@@ -120,9 +135,18 @@ def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, words: int, si
 
 def set_features(rows: DataFrame, words: int) -> DataFrame:
     """(id, rank, n, same, bands, bits) of rows (id, day, text) with words: what near-duplicates are found and bounded by."""
-    sets = rows.select("id", "day", _shingle_hashes(F.col("text"), words).alias("g"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, hashes in _hashed(batches, words):
+            m = np.array([minima(h) for h in hashes], np.uint64).reshape(b.num_rows, MINIMA // BAND, BAND)
+            bands = ((m * _ODD[:BAND]).sum(2, dtype=np.uint64) ^ _FLIP[: MINIMA // BAND]).view(np.int64)
+            parity = [np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).view(np.int64) for h in hashes]
+            longs = pa.list_(pa.int64())
+            cols = [b.column(0), b.column(1), pa.array([len(h) for h in hashes], pa.int32()), pa.array([hashlib.md5(h.tobytes()).hexdigest() for h in hashes]), pa.array(list(bands), longs), pa.array(parity, longs)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "day", "n", "same", "bands", "bits"])
+
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    base = sets.where("g is not null").mapInArrow(_set_features, f"id {kind['id']}, day {kind['day']}, n int, same string, bands array<bigint>, bits array<bigint>")
+    base = rows.select("id", "day", _bytes(F.col("text")).alias("text")).mapInArrow(run, f"id {kind['id']}, day {kind['day']}, n int, same string, bands array<bigint>, bits array<bigint>")
     return base.select("id", F.struct("day", "id").alias("rank"), "n", "same", "bands", "bits")
 
 
@@ -138,7 +162,7 @@ def near_dup_keep(articles: DataFrame, id_col: str, text_col: str, date_col: str
     base = cut(set_features(rows, words))
     oldest = base.groupBy("same").agg(F.min(F.struct("rank", "id")).alias("x")).select("x.id")
     classes = cut(base.join(oldest, "id", "left_semi").drop("same"))
-    left, kept = classes, rows.where(F.coalesce(F.size(X.dedup_tokens(F.col("text"))), F.lit(0)) <= 0).select("id")
+    left, kept = classes, rows.where(~F.coalesce(F.lower("text").rlike(X.DEDUP_TOKEN), F.lit(False))).select("id")
     for _ in range(LEADER_ROUNDS):
         members = left.select("id", "rank", F.explode("bands").alias("band"))
         heads = members.groupBy("band").agg(F.min(F.struct("rank", "id")).alias("h"))

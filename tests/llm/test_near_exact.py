@@ -1,6 +1,7 @@
 """Near-duplicates against brute force: every pair at the similarity is linked, in any size of group."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 
@@ -116,3 +117,21 @@ def test_rows(spark):
     classes = simhash.near_classes(docs)
     assert classes.where("keep").count() == classes.select("root").distinct().count() == 5
     assert simhash.near_classes(docs.limit(0)).count() == simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_postings_leave_out_what_cannot_be_similar(spark):
+    """A shared shingle that is the last of two prefixes, or of sets of too different size, can't be the first of a similar pair."""
+    rows = [(1, 10, [5, 6, 7]), (2, 10, [3, 4, 7]), (3, 10, [8, 9, 11]), (4, 10, [8, 12, 13]), (5, 10, [20, 21, 22]), (6, 13, [20, 23, 24])]
+    sets = spark.createDataFrame(rows, "id long, n long, prefix array<bigint>")
+    assert sorted((r.key, r.id) for r in simhash._prefix_postings(sets, 0.8).collect()) == [(8, 3), (8, 4)]
+
+
+def test_staged_tables_go(spark):
+    """Of the tables that a call stages only the last and the components' are left."""
+    texts = [" ".join(f"t{i // 2}.{k}" for k in range(40)) + f" {i}" for i in range(40)]
+    root = lambda: Path(simhash.staged(spark.range(1), "probe").inputFiles()[0].removeprefix("file://")).parents[1]
+    before = set(root().iterdir())
+    classes = simhash.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    left = {p.name.split("-")[0] for p in set(root().iterdir()) - before}
+    assert left <= {"classes", "small", "edges", "often", "texts", "probe"}
+    assert classes.where("keep").count() == 20

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import components, sliced, staged
+from tidegraph.llm.common import components, sliced, staged, unstage
 
 #: Members of a posting up to which its pairs are made; of a wide posting, whose candidates are compared by their texts.
 PAIRED = 32
@@ -247,7 +247,9 @@ def _index_pairs(sets: DataFrame, planes: int, key_bytes: int, keys: int, near:
     other = small.select("key", F.col("id").alias("b"), F.col("f").alias("fb"))
     pairs = small.join(other, "key").where((F.col("id") < F.col("b")) & near(F.col("f"), F.col("fb"))).select(F.col("id").alias("a"), "b")
     stars = shared.where("a is not null").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-    return staged(pairs.unionByName(stars).distinct(), "candidates")
+    found = staged(pairs.unionByName(stars).distinct(), "candidates")
+    unstage(shared)
+    return found
 
 
 def _hashes(text: str | None, words: int) -> np.ndarray:
@@ -393,18 +395,32 @@ def _met(rows: list[np.ndarray], similarity: float, few: int) -> np.ndarray | No
     return np.stack([np.minimum(ids[u], ids[y]), np.maximum(ids[u], ids[y]), root[u], root[y], held])
 
 
-def _prefix_postings(sets: DataFrame) -> DataFrame:
-    """(key, id, p1, p2): prefix shingles that several sets hold, with them; p1, p2: the set's two shingles before it, 0 for none."""
+def _prefix_postings(sets: DataFrame, similarity: float = 0.0) -> DataFrame:
+    """(key, id, p1, p2): prefix shingles that several sets hold, with them; p1, p2: the set's two shingles before it, 0 for none.
+
+    With a similarity, a set is left out of a posting where no member can be similar to it if this is the first shingle that the two
+    share: by its size, and as only what stands from its place on can be shared. A similar pair keeps the first it shares.
+    """
     before = lambda i, k: F.coalesce(F.get("prefix", i - k), F.lit(0).cast("long"))
-    rows = sets.select("id", F.explode(F.transform("prefix", lambda x, i: F.struct(x.alias("key"), before(i, 1).alias("p1"), before(i, 2).alias("p2")))).alias("x")).select("id", "x.*")
-    keys = sets.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
-    return staged(rows.join(keys.where("c > 1").select("key"), "key"), "prefixes")
+    place = [F.col("n").cast("int").alias("n")] if similarity else []
+    each = lambda x, i: F.struct(x.alias("key"), before(i, 1).alias("p1"), before(i, 2).alias("p2"), *([i.alias("i")] if similarity else []))
+    rows = sets.select("id", *place, F.explode(F.transform("prefix", each)).alias("x")).select("id", *place, "x.*")
+    sizes = [F.min("n").alias("lo"), F.max("n").alias("hi")] if similarity else []
+    keys = sets.select(*place, F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("c"), *sizes).where("c > 1")
+    if not similarity:
+        return staged(rows.join(keys.select("key"), "key"), "prefixes")
+    keys = keys.where((F.col("c") > 2) | (F.col("lo") >= similarity * F.col("hi") - 1e-6))
+    other = lambda c: F.when(F.col("c") == 2, F.col("lo") + F.col("hi") - F.col("n")).otherwise(F.col(c))
+    least, most = F.greatest(other("lo"), similarity * F.col("n")), F.least(other("hi"), F.col("n") / similarity)
+    may = (least <= most + 1e-6) & (F.col("n") - F.col("i") >= similarity / (1 + similarity) * (F.col("n") + least) - 1e-6)
+    return staged(rows.join(keys, "key").where(may).select("key", "id", "p1", "p2"), "prefixes")
 
 
 def _exact_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float, few: int) -> DataFrame:
-    """(a, b, withheld): pairs of different roots that share a prefix shingle and whose sizes and bitmaps let them be similar.
+    """(a, b, ra, rb, withheld): pairs of different roots that share a prefix shingle and whose sizes and bitmaps let them be similar.
 
-    Every similar pair of different roots is among them; with few, that many of each two roots in a unit, the nearest by bitmap.
+    Every similar pair of different roots is among them; with few, that many of each two roots (ra, rb) in a unit, the nearest by
+    bitmap, withheld if there were more.
     A posting meets block by block, so that no task gets it whole and no member is left out; pairs that share one of the two
     shingles before the posting's have met in that one's, so most pairs are made once. Members of the posting's
     largest root are linked already and never meet each other: once a group is linked, its postings cost their size only.
@@ -439,7 +455,17 @@ def _exact_pairs(postings: DataFrame, sets: DataFrame, roots: DataFrame, similar
                 held = [c[end:] for c in held]
 
     met = rows.mapInArrow(run, "a long, b long, ra long, rb long, withheld long")
-    return met.groupBy("a", "b").agg((F.max("withheld") > 0).alias("withheld"))
+    return met.groupBy("a", "b").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"), (F.max("withheld") > 0).alias("withheld"))
+
+
+def _still_open(postings: DataFrame, met: DataFrame, roots: DataFrame, after: DataFrame) -> DataFrame:
+    """The postings' members whose group of `roots` had pairs withheld from `met` with another one that is still apart in `after`."""
+    now = lambda c: after.select(F.col("node").alias(c), F.col("root").alias(f"now_{c}"))
+    held = met.where("withheld").select("ra", "rb").distinct().join(now("ra"), "ra", "left").join(now("rb"), "rb", "left")
+    apart = held.where(F.coalesce("now_ra", "ra") != F.coalesce("now_rb", "rb"))
+    groups = staged(apart.select(F.col("ra").alias("root")).union(apart.select("rb")).distinct(), "open")
+    members = staged(roots.join(groups, "root", "left_semi").select(F.col("node").alias("id")).union(groups.select("root")).distinct(), "members")
+    return staged(postings.join(members, "id", "left_semi"), "prefixes")
 
 
 def text_key(text: Column) -> Column:
@@ -471,17 +497,23 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, plane
     distinct = sets.join(links[0].select(F.col("b").alias("id")), "id", "left_anti")
     tried = _index_pairs(distinct.select("id", "f"), planes, key_bytes, keys, lambda a, b: _near(a, b, planes, similarity, min_matches))
     links.append(_verified(tried, first, words, similarity))
-    # the exact rest: some pairs of each two groups that may touch, then, if those were not all, all pairs still apart
-    postings = _prefix_postings(distinct)
+    # the exact rest: some pairs of each two groups that may touch, then all pairs of those still apart that had more
+    postings, used = _prefix_postings(distinct, similarity), [exact, first, sets, tried]
+    groups = lambda: staged(components(reduce(DataFrame.unionByName, links)), "roots")
+    roots = groups()
     for few in (FEW, 0):
-        roots = staged(components(reduce(DataFrame.unionByName, links)), "roots")
-        cand = staged(_by_wide_bitmaps(_exact_pairs(postings, sets, roots, similarity, few).join(tried, ["a", "b"], "left_anti"), sets, similarity), "candidates")
+        met = staged(_exact_pairs(postings, sets, roots, similarity, few), "met")
+        cand = staged(_by_wide_bitmaps(met.join(tried, ["a", "b"], "left_anti"), sets, similarity), "candidates")
         links.append(_verified(cand.select("a", "b"), first, words, similarity))
         tried = tried.unionByName(cand.select("a", "b"))
-        if cand.where("withheld").isEmpty():
+        before, roots = roots, groups()
+        used += [postings, met, cand, before]
+        if met.where("withheld").isEmpty():
             break
-    roots = components(reduce(DataFrame.unionByName, links))
+        postings = _still_open(postings, met, before, roots)
     out = staged(exact.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("cls"), F.col("doc_id").alias("least"), "rows", F.coalesce("root", "id").alias("root")), "classes")
+    for table in (*used, roots, *links):
+        unstage(table)
     names = out.groupBy("root").agg(F.min(F.struct("least", "cls")).alias("x"))
     known = lambda c: F.when(c != last, c)
     out = out.join(names, "root").select("cls", known(F.col("least")).alias("least"), "rows", "root", known(F.col("x.least")).alias("component_id"), (F.col("cls") == F.col("x.cls")).alias("keep"))

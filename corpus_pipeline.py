@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import langid, mixing, piecewise, quality, simhash
-from tidegraph.llm.common import load, staged
+from tidegraph.llm.common import load, sieved, staged
 from tidegraph.llm.queries import tokenizer_file
 from tidegraph.shipping import shipped
 
@@ -48,9 +48,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least by its other columns.
     """
     classes = simhash.near_classes(docs, words=5, similarity=0.8)
-    kept = staged(classes.where("keep").select(F.col("cls").alias("_cls"), F.col("least").alias("_least"), F.col("rows").alias("_rows")), "kept")
-    rows = docs.select(*COLUMNS, simhash.text_key(F.col("text")).alias("_cls")).join(kept, "_cls").where(F.col("doc_id").eqNullSafe(F.col("_least")))
-    alone = rows.where("_rows = 1").select(*COLUMNS)
+    classes = staged(classes.select(F.col("cls").alias("_cls"), F.col("least").alias("_least"), F.col("rows").alias("_rows"), "keep"), "kept")
+    marked = sieved(docs.select(*COLUMNS, simhash.text_key(F.col("text")).alias("_cls")), classes.where("not keep or _rows > 1"), "_cls")
+    unlike = marked.where("not _maybe").select(*COLUMNS)  # a row of its own that stays, where it is
+    rows = marked.where("_maybe").join(classes.where("keep").drop("keep"), "_cls").where(F.col("doc_id").eqNullSafe(F.col("_least")))
+    alone = unlike.unionByName(rows.where("_rows = 1").select(*COLUMNS))
     least = F.min(F.struct("lang", "source", "n_chars", "text"))  # texts of a class are equal
     several = rows.where("_rows > 1").groupBy("_cls", "doc_id").agg(least.alias("x")).select("doc_id", "x.*").select(*COLUMNS)
     return alone.unionByName(several)
@@ -61,10 +63,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Sources share 150 % of all words by weights 3, 1, 2, up to two passes of each: rows go, stay or come twice.
 
     A source whose target is below its size loses rows, one above it repeats some; rows without words go. See
-    `mixing.mixed_rows` for repeated rows.
+    `mixing.drawn_rows` for repeated rows.
     """
     mix = staged(mixing.mix_sources(docs, weights=(3, 1, 2), share=1.5, max_passes=2), "mix")
-    return mixing.mixed_rows(docs.select(*COLUMNS), mix).select(*COLUMNS)
+    return mixing.drawn_rows(docs.select(*COLUMNS), mix).select(*COLUMNS)
 
 
 @shipped

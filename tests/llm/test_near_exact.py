@@ -1,11 +1,13 @@
 """Near-duplicates against brute force: every pair at the similarity is linked, in any size of group."""
 
 import random
+import re
 from pathlib import Path
 
 import numpy as np
+import pytest
 
-from tidegraph.llm import simhash
+from tidegraph.llm import common, mixing, simhash
 
 
 def brute(texts, words=5, similarity=0.8):
@@ -135,3 +137,65 @@ def test_staged_tables_go(spark):
     left = {p.name.split("-")[0] for p in set(root().iterdir()) - before}
     assert left <= {"classes", "small", "edges", "often", "texts", "probe"}
     assert classes.where("keep").count() == 20
+
+
+def dealt(df):
+    """The columns by which the plan deals rows anew."""
+    return set(re.findall(r"hashpartitioning\((\w+)#", df._jdf.queryExecution().executedPlan().toString()))
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("words", [1, 1 << 19])
+def test_sieve_keeps_every_key(spark, monkeypatch, words):
+    monkeypatch.setattr(common, "SIEVE", words)
+    rows = spark.createDataFrame([(i if i else None, f"t{i}") for i in range(3000)], "k long, t string")
+    out = common.sieved(rows, spark.createDataFrame([(i,) for i in (5, 5, 70, 2999, -1)], "k long"), "k")
+    got = {r.t: r["_maybe"] for r in out.collect()}
+    assert out.columns == ["k", "t", "_maybe"] and len(got) == 3000 and got["t5"] and got["t70"] and got["t2999"]
+    assert not got["t0"] and (sum(got.values()) < 10 if words > 1 else sum(got.values()) < 1000)
+
+
+def test_texts_of_pairs_are_not_dealt(spark, monkeypatch, no_small_tables):
+    plans, write = {}, simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name: plans.setdefault(name, dealt(df)) and None or write(df, name))
+    texts = [" ".join(f"t{i // 2}.{k}" for k in range(40)) + f" {i}" for i in range(40)]
+    assert found(spark, texts) == [i // 2 * 2 for i in range(40)]
+    assert plans["texts"] <= {"_word"}
+
+
+@pytest.mark.parametrize("words", [1, 1 << 19])
+def test_stage_keeps_one_row_of_a_group(spark, monkeypatch, words):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(common, "SIEVE", words)
+    text = lambda i: " ".join(f"t{i}.{k}" for k in range(40))
+    rows = [(i, text(i)) for i in range(20)] + [(30 + i, text(i)) for i in range(5)] + [(40 + i, text(5 + i) + " more") for i in range(5)] + [(3, text(3)), (50, None), (51, ""), (None, text(60)), (None, text(60)), (2, text(61))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in P.dedup_stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([*((i, text(i)) for i in range(20)), (50, None), (None, text(60)), (2, text(61))], key=str)
+
+
+def test_drawn_rows(spark, no_small_tables):
+    """The rows of mixed_rows, without dealing a text."""
+    rows = [(i, f"w{i} " * (i % 13), f"s{i % 4}") for i in range(600)] + [(None, None, None), (None, "a b", None), (1000, "a", None), (1000, "a", None), *[(2000, "x " * 9, "s1")] * 70]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights, per_block in (((3, 1, 2), 4), ((1, 5, 1), 64)):
+        mix = common.staged(mixing.mix_sources(docs, weights=weights, docs_per_block=per_block), "mix")
+        want = mixing.mixed_rows(docs, mix).drop("mix_shard")
+        got = mixing.drawn_rows(docs, mix, docs_per_block=per_block)
+        assert dealt(got) == set() and dealt(want)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_mixing_stage_deals_no_text(spark, no_small_tables):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(i, f"w{i} " * 5, "en", f"s{i % 4}", 1) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.mixing_stage(spark, docs, "")
+    assert dealt(out) == set() and out.count() > 300

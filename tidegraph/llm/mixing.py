@@ -92,11 +92,17 @@ def split_quotas(root: DataFrame, shards: int, total: int, seed: int) -> DataFra
     return node.select(F.col("lo").alias("shard"), "counts")
 
 
+def _tape(docs_per_block: int, seed: int) -> tuple[Column, Column, Column]:
+    """The block of a row by its source's n_docs and its hash h; the block's turn by sid and block; its part of the tape by its turn and n_docs."""
+    block = F.pmod("h", F.ceil(F.col("n_docs") / docs_per_block))
+    return block, F.xxhash64("sid", "block", F.lit(seed)), F.pmod("turn", F.ceil(F.col("n_docs") / (docs_per_block * SUPER)))
+
+
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_passes: int = 2, docs_per_block: int = 64, blocks_per_shard: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, row_key, source, size, source_size, target, draws, taken), one row per input row.
+    """(doc_id, row_key, source, size, source_size, target, draws, sid, n_docs, taken), one row per input row.
 
     draws: array of (pass, shard, words), the passes in which the document's block was drawn and the words taken then;
-    taken: their words; row_key: `row_key` of id and text. Null or blank texts have size 0 and take no words; a null
+    taken: their words; row_key: `row_key` of id and text; sid, n_docs: the source's number and rows. Null or blank texts have size 0 and take no words; a null
     source is a source, last in order; rows that repeat an id are documents of their own; an empty table gives an empty
     result; extra columns are not read. A source's taken words equal floor(target) exactly. The same input gives the same rows.
     """
@@ -107,11 +113,11 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_pass
     h = F.xxhash64("row_key", F.lit(seed))
     near = src.select(F.col("source").alias("_source"), "sid", "n_docs", "source_size", "target")
     keyed = join_small(sized.withColumn("h", h), near, F.col("source").eqNullSafe(F.col("_source")), F.col("h"), "source", "_source").drop("_source")
-    keyed = keyed.withColumn("block", F.pmod("h", F.ceil(F.col("n_docs") / docs_per_block)))
+    block, turn, sup = _tape(docs_per_block, seed)
+    keyed = keyed.withColumn("block", block)
 
-    blocks = keyed.groupBy("sid", "block", "source_size", "target", "n_docs").agg(F.sum("size").alias("words")).withColumn("turn", F.xxhash64("sid", "block", F.lit(seed)))
-    blocks = blocks.withColumn("sup", F.pmod("turn", F.ceil(F.col("n_docs") / (docs_per_block * SUPER))))
-    blocks = staged(blocks, "blocks")
+    blocks = keyed.groupBy("sid", "block", "source_size", "target", "n_docs").agg(F.sum("size").alias("words")).withColumn("turn", turn)
+    blocks = staged(blocks.withColumn("sup", sup), "blocks")
     before = Window.partitionBy("sid").orderBy("sup").rowsBetween(Window.unboundedPreceding, -1)
     sup = blocks.groupBy("sid", "sup").agg(F.sum("words").alias("w"), F.count("*").alias("k"))
     sup = sup.select("sid", "sup", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"), F.sum("k").over(Window.partitionBy("sid")).alias("n_blocks"))
@@ -144,7 +150,7 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_pass
     out = out.join(placed, (F.col("sid") == F.col("psid")) & (F.col("block") == F.col("pblock")), "left")
     words = lambda d: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), d["reach"] - d["start"] - F.col("before")))
     drawn = F.transform(F.coalesce("plan", F.array().cast("array<struct<pass:int,shard:int,start:bigint,reach:bigint>>")), lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), words(d).alias("words")))
-    out = out.select("doc_id", "row_key", "source", "size", "source_size", "target", drawn.alias("draws"))
+    out = out.select("doc_id", "row_key", "source", "size", "source_size", "target", drawn.alias("draws"), "sid", "n_docs")
     return out.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]))
 
 
@@ -153,6 +159,32 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col), F.lit(29))
 
 
+def drawn_rows(docs: DataFrame, mix: DataFrame, docs_per_block: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The columns of docs and mix_pass: the rows of `mixed_rows` without their shards, in whose making no text is shuffled.
+
+    docs_per_block and seed are those of `mix_sources`. A pass draws a source's tape up to a place, so that one place a source
+    and pass says of each row whether it is drawn. Rows of one source that repeat id and text are drawn alike, as the one
+    drawn most.
+    """
+    if clash := {"mix_pass", "sid", "n_docs", "h", "block", "turn", "sup", "_source", "_cuts", "_cut"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are taken")
+    block, turn, sup = _tape(docs_per_block, seed)
+
+    def placed(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.withColumn("h", F.xxhash64(key, F.lit(seed))).withColumn("block", block).withColumn("turn", turn).withColumn("sup", sup)
+
+    place = lambda row_id: F.struct("sup", "turn", "block", "h", F.col(row_id).alias("id"))
+    whole = F.filter("draws", lambda d: (d["words"] > 0) & (d["words"] * 2 >= F.col("size")))
+    drawn = placed(mix, F.col("row_key")).select("source", "sid", "n_docs", place("doc_id").alias("place"), F.explode(whole).alias("d"))
+    cuts = drawn.groupBy("source", "sid", "n_docs", "d.pass").agg(F.max("place").alias("cut"))
+    cuts = cuts.groupBy(F.col("source").alias("_source"), "sid", "n_docs").agg(F.collect_list(F.struct("pass", "cut")).alias("_cuts"))
+    rows = docs.where(F.col(text_col).rlike(WORD))
+    key = row_key(id_col, text_col)
+    rows = placed(join_small(rows, staged(cuts, "cuts"), F.col(source_col).eqNullSafe(F.col("_source")), F.xxhash64(key), source_col, "_source"), key)
+    rows = rows.withColumn("_cut", F.explode(F.filter("_cuts", lambda c: place(id_col) <= c["cut"])))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_cut.pass").alias("mix_pass"))
+
+
 def mixed_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs, mix_shard and mix_pass: a row for each pass that draws at least half of a document's words.
 

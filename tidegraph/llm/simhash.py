@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import components, sliced, staged, unstage
+from tidegraph.llm.common import components, sieved, sliced, staged, unstage
 
 #: Members of a posting up to which its pairs are made; of a wide posting, whose candidates are compared by their texts.
 PAIRED = 32
@@ -187,12 +187,12 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, id_co
 
 def _verified(close: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of candidate pairs (a, b): those whose shingle sets are similar. close is staged; texts: (id, text)."""
-    wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    return confirmed(close, staged(texts.join(wanted, "id", "left_semi"), "texts"), words, similarity)
+    wanted = close.select(F.col("a").alias("id")).union(close.select("b"))
+    return confirmed(close, staged(sieved(texts, wanted, "id").where("_maybe").select("id", "text"), "texts"), words, similarity)
 
 
 def confirmed(close: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """`_verified` by texts that are staged, those of the pairs alone."""
+    """`_verified` by texts that are staged, those of the pairs and few others."""
     both = close.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,8 +489,10 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, plane
     last = F.lit(2**63 - 1)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("id"))
     exact = staged(base.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "exact")
+    marked = sieved(base, exact.where("rows > 1"), "id")  # the others are alone and go on where they are
     # a row that repeats an id and its text is there twice: one of them goes on
-    first = staged(base.join(exact.select("id", "doc_id"), ["id", "doc_id"], "left_semi").dropDuplicates(["id", "doc_id"]).select("id", "text"), "first")
+    copies = marked.where("_maybe").join(exact.select("id", "doc_id"), ["id", "doc_id"], "left_semi").dropDuplicates(["id", "doc_id"])
+    first = staged(marked.where("not _maybe").select("id", "text").unionByName(copies.select("id", "text")), "first")
     sets = _shingle_sets(first, _common(first, words), words, similarity, planes)
     same = sets.groupBy("whole").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("whole", "a")
     links = [staged(sets.select("id", "whole").join(same, "whole").where("id <> a").select("a", F.col("id").alias("b")), "links")]
